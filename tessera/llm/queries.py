@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_decontamination
+from .packing import op7_packing
 from .simhash import op1_simhash
 from .substring import op9_substring_dedup
+from .tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op6_token_counts, op7_packing, op9_substring_dedup, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
