@@ -1,4 +1,445 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the whole of their tables, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rects as R
+from ..functions import strings as S
+from ..operators import grid as G
+from ..operators import planning as P
+from ..operators import tree as TR
+from ..operators.index import IndexedTable, Names, build_index, with_part
+from ..operators.quad import Quad
+from ..operators.scan import linear_scan, pair_lines, scan_lines
+from ..operators.trie import Trie
+from ..sources import nodes as N
+from ..sources.shared import shared_dir
+from ..sources.views import POINTS_SQL, WORDS_SQL, points, words
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The parameters of the registered queries.
+RECT = (-60.0, -30.0, 45.5, 40.25)
+SKINNY = (-170.0, 10.0, 170.0, 10.5)
+DEPTH, PARTS, AREA, CELLS = 12, 7, R.Rect(-120.0, -60.0, 150.0, 75.0), 100
+WORD_RANGE, PREFIX, TRIE_DEPTH, TRIE_BLOCK = ("mor", "pat"), "an", 8, 50
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_p = f"with points as ({POINTS_SQL})"
+_w = f"with words as ({WORDS_SQL})"
+
+
+def _between(r) -> str:
+    return f"x between {r[0]}e0 and {r[2]}e0 and y between {r[1]}e0 and {r[3]}e0"
+
+
+# ---- sources -----------------------------------------------------------------------------------------------------
+
+
+@query(f"{_p} select id, x, y from points")
+def parse_osm_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return N.PointParser().parse(N.point_lines(points(spark, sf)))
+
+
+@query(f"{_w} select id, str from words")
+def parse_trie_nodes(spark, sf):
+    return N.StringParser().parse(N.string_lines(words(spark, sf)))
+
+
+@query(f"{_p} select case when id % 3 = 0 then 404 else id end as id, x, y from points")
+def parse_bad_ids_404(spark, sf):
+    spoiled = points(spark, sf).withColumn("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.col("id").cast("string")))
+    return N.PointParser().parse(N.point_lines(spoiled))
+
+
+@query(f"{_p} select id, x, y from points union all select id + 1, y, x / 2 from points")
+def parse_two_nodes_a_line(spark, sf):
+    p = points(spark, sf)
+    second = p.select((F.col("id") + 1).alias("id"), F.col("y").alias("x"), (F.col("x") / 2).alias("y"))
+    both = p.withColumn("k", F.col("id")).join(second.select((F.col("id") - 1).alias("k"), F.struct("id", "x", "y").alias("b")), "k")
+    lines = both.select(F.format_string('<way/><node id="%s" lat="%s" lon="%s"/> <node v="1" id="%s" lat="%s" lon="%s"></node>', *(F.col(c).cast("string") for c in ("id", "y", "x", "b.id", "b.y", "b.x"))).alias("value"))
+    return N.PointParser().parse(lines)
+
+
+# ---- index-free scans --------------------------------------------------------------------------------------------
+
+
+@query(f"{_p} select id, x, y from points where {_between(RECT)}")
+def range_linear(spark, sf):
+    return linear_scan(points(spark, sf), R.Rect.corners(*RECT))
+
+
+@query(f"{_p} select id, x, y from points where {_between(RECT)} order by x, y, id")
+def range_linear_sorted(spark, sf):
+    return linear_scan(points(spark, sf), R.Rect.corners(*RECT), sort=True)
+
+
+@query(f"{_p} select 'X: ' || x || ' Y: ' || y || chr(9) || id as value from points where {_between(RECT)}")
+def range_linear_text(spark, sf):
+    return scan_lines(range_linear(spark, sf))
+
+
+# ---- index -------------------------------------------------------------------------------------------------------
+
+
+def quad_names(spark: SparkSession, sf: str) -> Names:
+    return Names(f"{shared_dir(spark)}/indexes-{zlib.crc32(sf.encode()):08x}", "OSM", "Quad", "points")
+
+
+def trie_names(spark: SparkSession, sf: str) -> Names:
+    return Names(f"{shared_dir(spark)}/indexes-{zlib.crc32(sf.encode()):08x}", "BasicTrie", "Trie", "words")
+
+
+_built: dict[tuple, IndexedTable] = {}
+
+
+def quad_index(spark: SparkSession, sf: str) -> IndexedTable:
+    """The index of the points, built once for a session and an input."""
+    key = (spark.sparkContext.applicationId, sf, "Quad")
+    if key not in _built:
+        _built[key] = build_index(points(spark, sf), Quad(resolution=DEPTH), quad_names(spark, sf), percent=1.0, parts=28)
+    return _built[key]
+
+
+def trie_index(spark: SparkSession, sf: str) -> IndexedTable:
+    key = (spark.sparkContext.applicationId, sf, "Trie")
+    if key not in _built:
+        _built[key] = build_index(words(spark, sf), Trie(resolution=TRIE_DEPTH, blocksize=TRIE_BLOCK), trie_names(spark, sf), percent=1.0, parts=53)
+    return _built[key]
+
+
+@query(f"{_p} select id, x, y from points where {_between(RECT)}")
+def range_indexed(spark, sf):
+    return quad_index(spark, sf).range(RECT[:2], RECT[2:])
+
+
+@query(f"{_p} select id, x, y from points where {_between(RECT)}")
+def range_reversed_corners(spark, sf):
+    return quad_index(spark, sf).range((RECT[2], RECT[1]), (RECT[0], RECT[3]))
+
+
+@query(f"{_p} select id, x, y from points where {_between(SKINNY)}")
+def range_skinny_cross(spark, sf):
+    return quad_index(spark, sf).range(SKINNY[:2], SKINNY[2:])
+
+
+@query(f"{_p}, k as (select x, y from points order by id limit 1) select id, points.x, points.y from points, k where points.x = k.x and points.y = k.y")
+def range_degenerate_point(spark, sf):
+    first = points(spark, sf).orderBy("id").limit(1).first()
+    return quad_index(spark, sf).point((first["x"], first["y"]))
+
+
+@query(f"{_p} select id, x, y from points where x between 0.001e0 and 0.002e0 and y between 0.001e0 and 0.002e0")
+def range_empty(spark, sf):
+    return quad_index(spark, sf).range((0.001, 0.001), (0.002, 0.002))
+
+
+@query(f"{_p} select '(X: ' || x || ' Y: ' || y || ', ' || id || ')' as value from points where {_between(RECT)}")
+def range_result_text(spark, sf):
+    return pair_lines(range_indexed(spark, sf))
+
+
+@query(f"{_p} select count(*) as n, cast(sum(id) as bigint) as ids, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from points")
+def index_keeps_all(spark, sf):
+    return quad_index(spark, sf).records().agg(F.count("*").alias("n"), F.sum("id").alias("ids"), *(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))))
+
+
+# ---- partitions --------------------------------------------------------------------------------------------------
+
+_quadrant = "case when y < 0 then case when x < 0 then 2 else 3 end else case when x < 0 then 0 else 1 end end"
+
+
+@query(f"{_p} select cast({_quadrant} as int) as quadrant, count(*) as n from points group by 1")
+def quadrant_histogram(spark, sf):
+    return points(spark, sf).groupBy(Quad().path(1).cast("int").alias("quadrant")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_p} select id, cast({_quadrant} as int) as part_id from points")
+def partition_assign(spark, sf):
+    return with_part(points(spark, sf), Quad(), list("0123")).select("id", "part_id")
+
+
+def _planned(spark, sf, n=PARTS):
+    q = Quad()
+    parts = P.plan_partitions(P.sample_keys(points(spark, sf), q, 1.0), q, n)
+    rows = [(i, *(q.region(p)[c] for c in ("prefix", "x0", "x1", "y0", "y1")), n) for i, (p, n) in enumerate(parts)]
+    return spark.createDataFrame(rows, "part_id int, prefix string, x0 double, x1 double, y0 double, y1 double, n long")
+
+
+_greedy = f"""{_p}, keys as (select distinct x, y from points),
+q as (select {_quadrant} as d, x, y from keys),
+counts as (select d, count(q.x) as n from range(4) r(d) left join q using (d) group by d),
+best as (select d from counts order by n desc, d limit 1),
+bounds as (select d, case when d in (1, 3) then 0 else -180 end as x0, case when d in (2, 3) then -90 else 0 end as y0 from range(4) r(d)),
+kids as (select b.d, c.d as k, x0 + case when c.d in (1, 3) then 90 else 0 end as x0, y0 + case when c.d in (2, 3) then 0 else 45 end as y0
+    from bounds b join best using (d), range(4) c(d)),
+regions as (select d * 10 as o, cast(d as varchar) as prefix, x0, x0 + 180 as x1, y0, y0 + 90 as y1 from bounds where d not in (select d from best)
+    union all select d * 10 + k, d || '' || k, x0, x0 + 90, y0, y0 + 45 from kids),
+counted as (select o, prefix, x0, x1, y0, y1, count(x) as n from regions left join keys on x >= x0 and (x < x1 or x1 = 180 and x = 180) and y >= y0 and (y < y1 or y1 = 90 and y = 90) group by all)
+select cast(row_number() over (order by o) - 1 as int) as part_id, prefix, cast(x0 as double) as x0, cast(x1 as double) as x1, cast(y0 as double) as y0, cast(y1 as double) as y1, n from counted"""
+
+
+@query(_greedy)
+def greedy_partitions_100pct(spark, sf):
+    return _planned(spark, sf)
+
+
+@query(_greedy.replace("select cast(row_number()", "select part_id, prefix from (select cast(row_number()") + f") where x1 >= {RECT[0]}e0 and x0 <= {RECT[2]}e0 and y1 >= {RECT[1]}e0 and y0 <= {RECT[3]}e0")
+def qualifying_partitions(spark, sf):
+    """The parts that a rectangle query reads."""
+    r = R.Rect.corners(*RECT)
+    return _planned(spark, sf).where((F.col("x1") >= r.x0) & (F.col("x0") <= r.x1) & (F.col("y1") >= r.y0) & (F.col("y0") <= r.y1)).select("part_id", "prefix")
+
+
+@query(f"{_p} select distinct x, y from points")
+def sample_distinct_100pct(spark, sf):
+    return P.sample_keys(points(spark, sf), Quad(), P.fraction_of(1))
+
+
+@query("select * from (values (4, 0, 4), (4, 1, 7), (4, 10, 28), (27, 0, 27), (27, 10, 27), (27, 11, 53)) v(fanout, blocks, n)")
+def partition_numbers(spark, sf):
+    given = [(4, 0), (4, 1), (4, 10), (27, 0), (27, 10), (27, 11)]
+    return spark.createDataFrame([(f, b, P.n_partitions(b << 20, 1 << 20, f)) for f, b in given], "fanout int, blocks int, n int")
+
+
+# ---- trees -------------------------------------------------------------------------------------------------------
+
+
+def _cells_sql(depth: int) -> str:
+    """points with the path p of `depth` digits, halving bounds a level at a time."""
+    out = [f"l0 as (select id, x, y, -180e0 as x0, 180e0 as x1, -90e0 as y0, 90e0 as y1, '' as p from points)"]
+    for i in range(depth):
+        mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
+        out.append(
+            f"l{i + 1} as (select id, x, y, case when x < {mx} then x0 else {mx} end as x0, case when x < {mx} then {mx} else x1 end as x1, "
+            f"case when y < {my} then y0 else {my} end as y0, case when y < {my} then {my} else y1 end as y1, "
+            f"p || case when y < {my} then case when x < {mx} then '2' else '3' end else case when x < {mx} then '0' else '1' end end as p from l{i})"
+        )
+    return f"{_p}, " + ", ".join(out) + f", deep as (select p, count(*) as n from l{depth} group by p)"
+
+
+def _leaves_sql(depth: int, block: int) -> str:
+    """After deep: nodes (prefix, level, n) and leaves (leaf, level, n)."""
+    return f""", nodes as (select substr(p, 1, lv) as prefix, cast(lv as int) as level, cast(sum(n) as bigint) as n from deep, range(0, {depth + 1}) r(lv) group by 1, 2),
+leaves as (select prefix as leaf, level, n from nodes where level >= 1 and (n <= {block} or level = {depth})
+    and (level = 1 or exists (select 1 from nodes u where u.level = nodes.level - 1 and u.prefix = substr(nodes.prefix, 1, nodes.level - 1) and u.n > {block})))"""
+
+
+_tree = _cells_sql(DEPTH) + _leaves_sql(DEPTH, 100)
+
+
+def _deep(spark, sf, depth=DEPTH):
+    return TR.cells(points(spark, sf), Quad(), depth)
+
+
+@query(f"{_tree} select leaf, level, n from leaves")
+def leaf_occupancy(spark, sf):
+    return TR.leaves(_deep(spark, sf), Quad(resolution=DEPTH))
+
+
+@query(f"{_tree} select id, leaf from l{DEPTH} join leaves on starts_with(p, leaf)")
+def leaf_assign(spark, sf):
+    return TR.with_leaf(points(spark, sf), Quad(resolution=DEPTH)).select("id", "leaf")
+
+
+@query(f"{_cells_sql(4)} select p as leaf, 4 as level, n from deep")
+def fixed_depth_cells(spark, sf):
+    return TR.leaves(_deep(spark, sf, 4), Quad(resolution=4, path_shrink="NEVER"))
+
+
+_inner = f"""{_tree}, inner_nodes as (select prefix, level, n from nodes where exists (select 1 from leaves where length(leaf) > nodes.level and starts_with(leaf, prefix)))
+, kids as (select substr(prefix, 1, length(prefix) - 1) as up, count(*) as children from (select prefix from inner_nodes union all select leaf from leaves) where prefix <> '' group by 1)"""
+
+
+@query(f"{_inner} select prefix, level, n, children from inner_nodes join kids on prefix = up union all select leaf, level, n, 0 from leaves")
+def tree_nodes(spark, sf):
+    return TR.nodes(_deep(spark, sf), Quad(resolution=DEPTH))
+
+
+@query(f"{_inner} select prefix, level, n, children from inner_nodes join kids on prefix = up where children > 1 or prefix = '' union all select leaf, level, n, 0 from leaves")
+def tree_shrink(spark, sf):
+    return TR.nodes(_deep(spark, sf), Quad(resolution=DEPTH, path_shrink="TREE"))
+
+
+@query(f"""{_inner}, held as (select prefix, level, n, 4 as children from inner_nodes union all select leaf, level, n, 0 from leaves)
+select prefix, level, n, cast(children as bigint) as children from held union all
+select prefix || d, level + 1, 0, 0 from inner_nodes, range(4) r(d) where prefix || d not in (select prefix from held)""")
+def all_children_counts(spark, sf):
+    return TR.nodes(_deep(spark, sf), Quad(resolution=DEPTH, node_shrink=False))
+
+
+@query(f"{_tree} select prefix, level, n, cast(sum(n) over (partition by level) as bigint) as at_level from nodes where level <= 5")
+def subtree_rollup(spark, sf):
+    counts = TR.prefix_counts(_deep(spark, sf), DEPTH).where("level <= 5")
+    total = counts.groupBy(F.col("level").alias("_l")).agg(F.sum("n").alias("at_level"))
+    return counts.join(total, F.col("level") == F.col("_l")).select("prefix", "level", "n", "at_level")
+
+
+@query(f"{_tree} select row_number() over (order by prefix) as place, prefix from nodes where level <= 3")
+def catalog_preorder(spark, sf):
+    """At most 85 nodes, numbered as a preorder walk meets them."""
+    from pyspark.sql import Window
+
+    return TR.prefix_counts(_deep(spark, sf), DEPTH).where("level <= 3").select(F.row_number().over(Window.orderBy("prefix")).cast("long").alias("place"), "prefix")
+
+
+# ---- grid --------------------------------------------------------------------------------------------------------
+
+_area = (AREA.x0, AREA.y0, AREA.x1, AREA.y1)
+_side = G.grid_side(CELLS)
+
+
+def _step_sql(v: str, lo: float, hi: float) -> str:
+    step = (hi - lo) / _side
+    return "(" + " + ".join(f"case when {v} >= {lo + i * step!r}e0 then 1 else 0 end" for i in range(1, _side)) + ")"
+
+
+_placed = f"{_p}, placed as (select id, x, y, {_step_sql('y', AREA.y0, AREA.y1)} as \"row\", {_step_sql('x', AREA.x0, AREA.x1)} as col from points where {_between(_area)})"
+
+
+@query(f'{_placed} select "row", col, "row" * {_side} + col as cell, count(*) as n from placed group by all')
+def grid_cells(spark, sf):
+    return G.with_cell(points(spark, sf), AREA, CELLS).groupBy("row", "col", "cell").agg(F.count("*").alias("n"))
+
+
+@query(f"{_placed} select \"row\", col, x, y, string_agg(cast(id as varchar), ', ' order by id) as ids from placed group by all")
+def grid_collect(spark, sf):
+    return G.collect_ids(points(spark, sf), AREA, CELLS)
+
+
+@query(f"{_placed} select \"row\", col, x, max(y) as y, string_agg(cast(id as varchar), ', ' order by id) as ids from placed group by \"row\", col, x")
+def grid_collect_by_longitude(spark, sf):
+    return G.collect_ids(points(spark, sf), AREA, CELLS, group="x")
+
+
+@query(f"{_placed}, c as (select \"row\", col, x, y, string_agg(cast(id as varchar), ', ' order by id) as ids from placed group by all) select \"row\", col, 'Lon: ' || x || ' Lat: ' || y || chr(9) || ids || ', ' as value from c")
+def grid_text(spark, sf):
+    return G.grid_lines(G.collect_ids(points(spark, sf), AREA, CELLS))
+
+
+# ---- trie --------------------------------------------------------------------------------------------------------
+
+
+@query(f"{_w} select id, str from words where str between '{WORD_RANGE[0]}' and '{WORD_RANGE[1]}'")
+def trie_range(spark, sf):
+    return trie_index(spark, sf).range(*WORD_RANGE)
+
+
+@query(f"{_w} select id, str from words where str = 'the'")
+def trie_point(spark, sf):
+    return trie_index(spark, sf).point("the")
+
+
+@query(f"{_w} select id, str from words where starts_with(str, '{PREFIX}')")
+def trie_prefix(spark, sf):
+    return trie_index(spark, sf).prefix(PREFIX)
+
+
+@query(f"{_w} select '(' || str || ', ' || id || ')' as value from words where str between '{WORD_RANGE[0]}' and '{WORD_RANGE[1]}'")
+def trie_result_text(spark, sf):
+    return pair_lines(trie_range(spark, sf))
+
+
+_deep_words = f"{_w}, deep as (select rpad(str, {TRIE_DEPTH}, '-') as p, count(*) as n from words group by 1)"
+
+
+@query(f"{_deep_words} select substr(p, 1, 3) as prefix, 3 as level, cast(sum(n) as bigint) as n from deep group by 1")
+def trie_prefix_counts(spark, sf):
+    return TR.prefix_counts(TR.cells(words(spark, sf), Trie(), TRIE_DEPTH), 3, 3)
+
+
+@query(f"{_deep_words}{_leaves_sql(TRIE_DEPTH, TRIE_BLOCK)} select leaf, level, n from leaves")
+def trie_leaves(spark, sf):
+    return TR.leaves(TR.cells(words(spark, sf), Trie(), TRIE_DEPTH), Trie(resolution=TRIE_DEPTH, blocksize=TRIE_BLOCK))
+
+
+@query(f"""{_w} select c as predicate, cast(count(str) as bigint) as n from (select substr('{S.SYMBOLS}', cast(i as int), 1) as c from range(1, 28) r(i))
+left join words on substr(str, 2, 1) = c or (c = '-' and 2 > length(str)) group by c""")
+def trie_children(spark, sf):
+    """The 27 children of the second level and the words consistent with each."""
+    counts = [F.count_if(S.consistent(F.col("str"), F.lit(c), F.lit(2))).alias(c) for c in S.SYMBOLS]
+    return words(spark, sf).agg(*counts).select(F.explode(F.array(*(F.struct(F.lit(c).alias("predicate"), F.col(f"`{c}`").alias("n")) for c in S.SYMBOLS))).alias("s")).select("s.*")
+
+
+@query(f"""{_w}, q as (select substr(str, 1, 1) as c, count(*) as n from words group by 1),
+best as (select c from q order by n desc, c limit 1),
+parts as (select substr('{S.SYMBOLS}', cast(i as int), 1) as prefix from range(1, 28) r(i) where substr('{S.SYMBOLS}', cast(i as int), 1) not in (select c from best)
+    union all select c || substr('{S.SYMBOLS}', cast(i as int), 1) from best, range(1, 28) r(i)),
+counted as (select prefix, count(str) as n from parts left join words on starts_with(rpad(str, 2, '-'), prefix) group by prefix)
+select cast(row_number() over (order by prefix) - 1 as int) as part_id, prefix, n from counted""")
+def trie_partitions(spark, sf):
+    t = Trie()
+    parts = P.plan_partitions(P.sample_keys(words(spark, sf), t, 1.0), t, 53)
+    return spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(parts)], "part_id int, prefix string, n long")
+
+
+@query(f"{_w} select str, str || '-' as stored, cast(strlen(str) + 2 as int) as bytes, cast(instr('{S.SYMBOLS}', substr(str, 1, 1)) - 1 as int) as first_ordinal, substr(str, 1, 1) as first_symbol from words")
+def string_forms(spark, sf):
+    c = F.substring("str", 1, 1)
+    return words(spark, sf).select("str", S.terminated(F.col("str")).alias("stored"), R.string_bytes(F.col("str")).alias("bytes"), S.ordinal(c).alias("first_ordinal"), S.from_ordinal(S.ordinal(c)).alias("first_symbol"))
+
+
+@query("select p_name as c, case when regexp_matches(lower(substr(p_name, 1, 1)), '^[a-z]$') then lower(substr(p_name, 1, 1)) else '-' end as symbol from part")
+def char_normalise(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("c"), S.symbol(F.substring("p_name", 1, 1)).alias("symbol"))
+
+
+# ---- rectangles and text forms -----------------------------------------------------------------------------------
+
+#: Rectangles from points: the extents may be negative.
+_rects_sql = f"{_p}, rects as (select id, x, y, cast(id % 41 - 20 as double) as w, cast(id % 23 - 11 as double) as h from points), ends as (select *, least(x, x + w) as x0, greatest(x, x + w) as x1, least(y, y + h) as y0, greatest(y, y + h) as y1 from rects)"
+
+
+def _rects(spark, sf):
+    return points(spark, sf).select("id", F.struct("x", "y", (F.col("id") % 41 - 20).cast("double").alias("w"), (F.col("id") % 23 - 11).cast("double").alias("h")).alias("r"))
+
+
+@query(f"""{_rects_sql} select id, x0 <= -10 and 10 <= x1 and y0 <= -5 and 5 <= y1 as holds, -100 <= x0 and x1 <= 100 and -50 <= y0 and y1 <= 50 as inside,
+x0 <= 100 and -100 <= x1 and y0 <= 50 and -50 <= y1 as touches, 0 between x0 and x1 and 0 between y0 and y1 as origin from ends""")
+def rect_predicates(spark, sf):
+    big = F.struct(*(F.lit(v).alias(k) for k, v in zip("xywh", (-100.0, -50.0, 200.0, 100.0))))
+    small = F.struct(*(F.lit(v).alias(k) for k, v in zip("xywh", (10.0, 5.0, -20.0, -10.0))))
+    r = F.col("r")
+    return _rects(spark, sf).select("id", R.contains(r, small).alias("holds"), R.contains(big, r).alias("inside"), R.overlaps(r, big).alias("touches"), R.contains_point(r, F.lit(0.0), F.lit(0.0)).alias("origin"))
+
+
+@query(f"{_rects_sql}, k as (select id, w * h as area, x, y from rects) select row_number() over (order by area, x, y, id) as place, id, area from k order by place limit 50")
+def rect_order(spark, sf):
+    """A top-50 report: the least rectangles by area, x and y."""
+    from pyspark.sql import Window
+
+    top = _rects(spark, sf).select("id", *(k.alias(n) for k, n in zip(R.order_keys(F.col("r")), ("area", "x", "y")))).orderBy("area", "x", "y", "id").limit(50)
+    return top.select(F.row_number().over(Window.orderBy("area", "x", "y", "id")).cast("long").alias("place"), "id", "area")
+
+
+@query(f"{_rects_sql} select id, '[' || x || ',' || y || ',' || w || ',' || h || ']' as json, w as back_w, x0, x1 - x0 as normal_w from ends")
+def rect_json(spark, sf):
+    out = _rects(spark, sf).select("id", "r", R.rect_json(F.col("r")).alias("json"))
+    return out.select("id", "json", R.rect_from_json(F.col("json"))["w"].alias("back_w"), R.normalised(F.col("r"))["x"].alias("x0"), R.normalised(F.col("r"))["w"].alias("normal_w"))
+
+
+@query(f"{_p} select id, x between least(y, 0) and greatest(y, 0) and y between least(x, 10e0) and greatest(x, 10e0) as hit from points")
+def corners_in_columns(spark, sf):
+    c = F.col
+    return points(spark, sf).select("id", R.in_corners(c("x"), c("y"), F.lit(0.0), c("x"), c("y"), F.lit(10.0)).alias("hit"))
+
+
+@query("select l_orderkey as k, cast(regexp_extract('Local/part-r-' || lpad(cast(l_orderkey as varchar), 12, '0'), '-([0-9]+)$', 1) as int) as number, 'part-r-' || lpad(cast(l_orderkey as varchar), 12, '0') as segment from lineitem")
+def file_names(spark, sf):
+    file = F.concat(F.lit("Local/part-r-"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), S.file_number(file).alias("number"), S.last_segment(file).alias("segment"))

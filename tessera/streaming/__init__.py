@@ -1,0 +1 @@
+"""Empty: all of the engine's jobs are batch jobs; indexes aren't maintained incrementally."""
