@@ -173,8 +173,8 @@ def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
 # ---- two-way cell exchange ---------------------------------------------------------------------------------------
 #
 # Sources hold hashes; some question about equal hashes anywhere is answered bucket by bucket and the answer goes
-# back to the sources that asked. Cells are (bucket, 32 bits): about 2^32 for each bucket, and buckets follow the
-# size of the input. A source sends its cells as one packed blob a bucket: 2 to 4 bytes a cell instead of a row.
+# back to the sources that asked. Cells are (bucket, 32 bits): 2^32 for each bucket, and buckets follow the size of
+# the input. A source sends its cells as one packed blob a bucket: 2 to 4 bytes a cell instead of a row.
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -182,29 +182,33 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack_cells(cells: np.ndarray) -> bytes:
-    """Sorted uint32, with repeats, in 2 to 4 bytes each: counts by leading bits, then the other bits."""
+    """Sorted uint32, with repeats: counts by the leading k bits, then the other bits in whole bytes and a nibble. k is
+    what makes the blob smallest, so a cell takes 2 to 4 bytes, fewer the more there are."""
     n = len(cells)
-    if n > 1 << 16:
-        counts = np.bincount(cells >> np.uint32(16), minlength=1 << 16)
-        if counts.max() < 256:
-            return b"2" + counts.astype(np.uint8).tobytes() + (cells & np.uint32(0xFFFF)).astype("<u2").tobytes()
-    if n > 1 << 10:
-        counts = np.bincount(cells >> np.uint32(24), minlength=256).astype("<u4")
-        return b"3" + counts.tobytes() + np.ascontiguousarray(cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
-    return b"4" + cells.astype("<u4").tobytes()
+    k = min((16, 12, 8, 4, 0), key=lambda k: (1 << k) + n * (32 - k) / 8)
+    counts = np.bincount(cells >> np.uint32(32 - k), minlength=1 << k) if k else np.array([n])
+    wide = counts.max() > 255
+    low = cells.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out = [bytes([k | wide << 7]), counts.astype("<u4" if wide else np.uint8).tobytes(), np.ascontiguousarray(low[:, : (32 - k) // 8]).tobytes()]
+    if k % 8:
+        half = np.zeros((n + 1) // 2 * 2, np.uint8)
+        half[:n] = low[:, (32 - k) // 8] & 15
+        out.append((half[::2] | half[1::2] << 4).tobytes())
+    return b"".join(out)
 
 
 def unpack_cells(blob: bytes) -> np.ndarray:
-    kind, body = blob[:1], blob[1:]
-    if kind == b"2":
-        top = np.repeat(np.arange(1 << 16, dtype=np.uint32), np.frombuffer(body, np.uint8, 1 << 16))
-        return (top << np.uint32(16)) | np.frombuffer(body, "<u2", offset=1 << 16)
-    if kind == b"3":
-        top = np.repeat(np.arange(256, dtype=np.uint32), np.frombuffer(body, "<u4", 256))
-        low = np.zeros((len(top), 4), np.uint8)
-        low[:, :3] = np.frombuffer(body, np.uint8, offset=1024).reshape(-1, 3)
-        return (top << np.uint32(24)) | low.view("<u4").ravel()
-    return np.frombuffer(body, "<u4")
+    k, kind = blob[0] & 127, np.dtype("<u4") if blob[0] & 128 else np.dtype(np.uint8)
+    counts = np.frombuffer(blob, kind, 1 << k, 1)
+    at, n, whole = 1 + counts.nbytes, int(counts.sum(dtype=np.int64)), (32 - k) // 8
+    low = np.zeros((n, 4), np.uint8)
+    low[:, :whole] = np.frombuffer(blob, np.uint8, n * whole, at).reshape(-1, whole)
+    if k % 8:
+        half = np.frombuffer(blob, np.uint8, (n + 1) // 2, at + n * whole)
+        low[::2, whole] = (half & 15)[: (n + 1) // 2]
+        low[1::2, whole] = (half >> 4)[: n // 2]
+    cells = low.view("<u4").ravel()
+    return cells | np.repeat(np.arange(1 << k, dtype=np.uint32) << np.uint32(32 - k), counts) if k else cells
 
 
 def cells_by_bucket(h: np.ndarray, buckets: int):
@@ -220,6 +224,15 @@ def cells_by_bucket(h: np.ndarray, buckets: int):
         yield int(b), (key[edges[b] : edges[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Longs with their first bytes together, then their second ones: what is equal in most compresses well."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(values), bool)

@@ -73,7 +73,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even")
     buckets = C.n_parts(spark)
-    sources = 4 * buckets
+    sources = 3 * buckets
     nodes = nodes.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(sources)).alias("src")).repartition(buckets, "src")
 
     def emit(batches):
