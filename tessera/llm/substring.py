@@ -42,7 +42,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     other; a null doc_id counts as the lowest. Texts shorter than a window stay whole; words are joined by one space."""
     spark = docs.sparkSession
     buckets = C.n_parts(spark)
-    sources = 8 * buckets
+    sources = 3 * buckets
     docs = docs.select("doc_id", C.id_or_lowest().alias("_id"), "text", F.pmod(F.xxhash64(C.id_or_lowest()), F.lit(sources)).alias("src")).repartition(buckets, "src")
 
     def sketch(batches):
@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     rows["bucket"].append(int(x[0][0]))
                     rows["src"].append(src)
                     for name, y in zip(("h1", "h2", "id", "start", "many"), x[1:]):
-                        rows[name].append(y.tobytes())
+                        rows[name].append(C.planes(y) if name in ("id", "start") else y.tobytes())
         return pa.table({k: pa.array(x, {"bucket": pa.int32(), "src": pa.int64()}.get(k, pa.binary())) for k, x in rows.items()})
 
     def first(batches):
@@ -100,7 +100,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 held.setdefault(row[0], []).append(row[1:])
         for rows in held.values():
             src = np.repeat([r[0] for r in rows], [len(r[1]) // 8 for r in rows])
-            h, g, d, s, many = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64, bool), 1))
+            h, g, many = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, np.uint64), (2, np.uint64), (5, bool)))
+            d, s = (np.concatenate([C.unplanes(r[i]) for r in rows]) for i in (3, 4))
             order = np.lexsort((s, d, g, h))
             h, g, d, s, many, src = h[order], g[order], d[order], s[order], many[order], src[order]
             new = np.ones(len(h), bool)
@@ -116,7 +117,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out = [[], [], [], [], []]
             for x in zip(np.split(src, cuts), np.split(h, cuts), np.split(own, cuts), np.split(d, cuts), np.split(s, cuts)):
                 if len(x[0]):
-                    for o, y in zip(out, (int(x[0][0]), x[1].tobytes(), x[2].tobytes(), x[3][x[2]].tobytes(), x[4][x[2]].tobytes())):
+                    for o, y in zip(out, (int(x[0][0]), x[1].tobytes(), x[2].tobytes(), C.planes(x[3][x[2]]), C.planes(x[4][x[2]]))):
                         o.append(y)
             yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:])], names=["src", "h1", "kept", "id", "start"])
 
@@ -124,7 +125,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": []}
         raw, at = C.utf8(left["text"]) if left.num_rows else (None, np.zeros(1, np.int64))
         ids = left["_id"].to_numpy()
-        h1, kept, d, s = (np.frombuffer(b"".join(right[k].to_pylist()), t) for k, t in (("h1", np.uint64), ("kept", bool), ("id", np.int64), ("start", np.int64)))
+        h1, kept = (np.frombuffer(b"".join(right[k].to_pylist()), t) for k, t in (("h1", np.uint64), ("kept", bool)))
+        d, s = (np.concatenate([np.zeros(0, np.int64), *map(C.unplanes, right[k].to_pylist())]) for k in ("id", "start"))
         order = np.argsort(h1, kind="stable")
         h1, kept = h1[order], kept[order]
         place = np.full((len(h1), 2), -1, np.int64)
