@@ -40,12 +40,12 @@ WORLD = Rect(-180.0, -90.0, 180.0, 90.0)
 
 
 def point_in(x: Column, y: Column, r: Rect) -> Column:
-    """Closed on all four edges; a null coordinate is outside."""
-    return F.coalesce(x.between(r.x0, r.x1) & y.between(r.y0, r.y1), F.lit(False))
+    """Closed on all four edges. A null coordinate gives null, which filters drop: plain comparisons are pushed down."""
+    return x.between(r.x0, r.x1) & y.between(r.y0, r.y1)
 
 
 def in_corners(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """As point_in, with the corners as columns in any order; bounds are compared as they are, not recomputed."""
+    """As point_in, with the corners as columns in any order, and false for nulls; bounds are compared as they are."""
     return F.coalesce(x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2)), F.lit(False))
 
 

@@ -41,8 +41,8 @@ def consistent(s: Column, predicate: Column, level: Column) -> Column:
 
 
 def in_range(s: Column, lo: str, hi: str) -> Column:
-    """Closed, alphabetical, the ends in either order."""
-    return F.coalesce(s.between(min(lo, hi), max(lo, hi)), F.lit(False))
+    """Closed, alphabetical, the ends in either order; null for null, so that it's pushed down."""
+    return s.between(min(lo, hi), max(lo, hi))
 
 
 def prefix_may_hold(prefix: str, lo: str, hi: str) -> bool:

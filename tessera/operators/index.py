@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,13 +94,13 @@ def build_index(
     writers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ("part_id", "leaf", *opclass.keys)
     placed.repartitionByRange(writers, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part_id").parquet(names.local)
-    stored = spark.read.parquet(names.local)
+    stored = spark.read.schema(placed.schema).parquet(names.local)
     held = stored.groupBy("part_id").agg(F.count("*").alias("n"))
     catalog = spark.createDataFrame([(i, len(p), *(opclass.region(p)[c] for c in ("prefix", "x0", "x1", "y0", "y1"))) for i, p in enumerate(paths)], T.StructType(PARTITIONS.fields[:-1]))
     catalog = catalog.join(held, "part_id", "full").select(*(F.col(f.name) for f in PARTITIONS.fields[:-1]), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     catalog.coalesce(1).write.mode("overwrite").parquet(f"{names.catalog}/partitions")
     stored.groupBy("part_id", "leaf").agg(F.count("*").alias("n")).select("part_id", "leaf", F.length("leaf").alias("level"), "n").write.mode("overwrite").parquet(f"{names.catalog}/leaves")
-    settings = {k: str(v) for k, v in asdict(opclass.params).items()} | {"keys": ",".join(opclass.keys)}
+    settings = {k: str(v) for k, v in asdict(opclass.params).items()} | {"keys": ",".join(opclass.keys), "schema": placed.schema.json()}
     spark.createDataFrame([(settings,)], "settings map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{names.catalog}/metadata")
     return IndexedTable(spark, names, opclass)
 
@@ -118,12 +120,13 @@ class IndexedTable:
     def leaves(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.names.catalog}/leaves")
 
-    @property
+    @cached_property
     def settings(self) -> dict[str, str]:
         return self.spark.read.parquet(f"{self.names.catalog}/metadata").first()["settings"]
 
     def records(self) -> DataFrame:
-        return self.spark.read.parquet(self.names.local)
+        schema = T.StructType.fromJson(json.loads(self.settings["schema"]))
+        return self.spark.read.schema(schema).parquet(self.names.local)
 
     def qualifying(self, lo, hi) -> list[int]:
         """The parts whose cells can hold a key of the range, and hold any."""
