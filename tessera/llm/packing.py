@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,55 +22,80 @@ LENGTH, OPEN, END = 2048, 64, 1
 MAX_GAP = 8
 #: So many partitions' open windows are merged together.
 MERGED = 32
-#: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+#: Fixed value: the word-level pre-token pattern of the tokenizer file.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Words, and pre-tokens, whose ids a worker keeps; beyond that it starts anew.
+KEPT_WORDS = 600_000
 BLOCK_BYTES = 4 << 20
 
 
+class Ragged:
+    """Strings and the numbers that belong to each, side by side."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.start, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def add(self, keys: list[str], sizes: np.ndarray, values) -> None:
+        first, ends = len(self.index), self.start[len(self.index)] + np.cumsum(sizes)
+        while len(self.start) <= first + len(keys):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while len(self.flat) < ends[-1]:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.start[first] : ends[-1]] = values
+        self.start[first + 1 : first + 1 + len(keys)] = ends
+        self.index.update(zip(keys, range(first, first + len(keys))))
+
+    def take(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all keys, one after the other, and how many each has."""
+        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        begin = self.start[at]
+        sizes = self.start[at + 1] - begin
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
 class Encoder:
-    """Token ids of whole texts, with the ids of each white-space separated word kept. The tokenizer's normaliser and
-    pre-tokenizer never look across white space, so words can be encoded one by one; texts with special strings or
-    control characters that Python alone takes for white space are encoded as they are."""
+    """Token ids of whole texts. The tokenizer's normaliser and pre-tokenizer never look across white space, and its
+    pre-tokens are encoded one by one, so the ids of each white-space separated word are kept, and under them those of
+    each pre-token. Words beyond the common scripts (where Unicode versions may differ) are encoded whole; texts with
+    special strings or control characters that Python alone takes for white space are encoded as they are."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.start, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.words, self.parts = Ragged(), Ragged()
+        self.find = regex.compile(PRE_TOKEN + r"|\n").findall
 
     def _learn(self, words: list[str]) -> None:
-        """start[i]:start[i+1] are word i's ids."""
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            found = [x.ids for x in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            first = len(self.index)
-            while len(self.start) < first + len(part) + 1:
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            while len(self.ids) < self.n + size.sum():
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.start[first + 1 : first + 1 + len(part)] = self.n + np.cumsum(size)
-            flat = [y for x in found for y in x]
-            self.ids[self.n : self.n + len(flat)] = flat
-            self.n += len(flat)
-            self.index.update(zip(part, range(first, first + len(part))))
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isascii() or (max(w) <= "\u04ff" and "\u03a3" not in w and is_normalized("NFC", w)) else rest).append(w)
+        words = plain + rest
+        flat = self.find("".join([w + "\n" for w in plain]).lower())
+        ends = np.array([i for i, p in enumerate(flat) if p == "\n"], np.int64)
+        counts = np.concatenate([np.diff(ends, prepend=-1) - 1, np.ones(len(rest), np.int64)])
+        flat = [p for p in flat if p != "\n"] + rest
+        new = list(set(flat).difference(self.parts.index))
+        for i in range(0, len(new), 8192):
+            some = new[i : i + 8192]
+            found = [x.ids for x in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+            self.parts.add(some, np.fromiter(map(len, found), np.int64, len(found)), [y for x in found for y in x])
+        ids, sizes = self.parts.take(flat)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        self.words.add(words, np.diff(ends), ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = {i for i, t in enumerate(texts) if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         words = [w for x in split for w in x]
-        if len(self.index) > KEPT_WORDS:
-            self.reset()
-        if new := set(words).difference(self.index):
+        if len(self.words.index) > KEPT_WORDS:
+            self.words = Ragged()
+        if len(self.parts.index) > KEPT_WORDS:
+            self.parts = Ragged()
+        if new := set(words).difference(self.words.index):
             self._learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        begin = self.start[at]
-        size = self.start[at + 1] - begin
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        flat, sizes = self.words.take(words)
+        cut = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, split)])]
         out = [flat[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
         for i in odd:
             out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
