@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
                         pa.array(np.arange(key, key + j - i)),
                         part.column("doc_id").cast(pa.int64()),
                         pa.array(np.diff(words.first).astype(np.int64)),
-                        pa.compute.if_else(pa.array(has), part.column("text").cast(pa.string()), pa.scalar(None, pa.string())),
+                        part.column("text").cast(pa.string()).take(pa.array(np.arange(j - i), mask=~has)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(g), pa.array(n)], names=["hash", "n"])),
                     ],
                     names=["key", "doc_id", "n_words", "text", "prints"],
