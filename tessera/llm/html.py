@@ -199,7 +199,7 @@ class Page:
             t = max(1, t)
             share = c / max(1, lc) * t / max(1, lt)
             linked = c / max(1, c - lc) * lc + body_links * c
-            out.append(c / t * log(1 + share) / (1 + log(log(linked + e))))
+            out.append(c / t * log(max(1, share)) / (1 + log(log(linked + e))))
         return out
 
     def main(self) -> int:
