@@ -184,3 +184,18 @@ def _split(text: str | None) -> list[bytes]:
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("hit_words")
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with docs as (select row_number() over (order by doc_id) as k, doc_id, {_WORDS_SQL} as w from documents),
+items as (select item_id, {_WORDS_SQL} as w from benchmark where item_id is not null),
+item_windows as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as s
+    from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as i from (select item_id, w, least({SPAN}, len(w)) as n from items where len(w) > 0))),
+doc_windows as (select k, n, i, array_to_string(w[i:i + n - 1], ' ') as s
+    from (select k, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from item_windows) where len(w) >= n)),
+found as (select k, doc_windows.n, i, item_id from doc_windows join item_windows using (n, s)),
+hit as (select k, count(distinct j) as n_hit from (select k, unnest(range(i, i + n)) as j from found) group by k),
+listed as (select k, count(*) as n_items, string_agg(item, ',' order by item) as t from (select distinct k, cast(item_id as varchar) as item from found) group by k)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(t, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join hit using (k) left join listed using (k)"""

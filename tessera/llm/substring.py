@@ -176,3 +176,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(C.table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+ORACLE_SQL = rf"""
+with docs as (select row_number() over (order by doc_id) as k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+words as (select k, doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from docs),
+spans as (select k, doc_id, i, array_to_string(w[i:i + {WINDOW} - 1], ' ') as s from (select k, doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) as i from docs)),
+repeated as (select k, i from (select k, i, doc_id, min(struct_pack(d := doc_id, i := i)) over (partition by s) as first from spans) where first <> struct_pack(d := doc_id, i := i)),
+marked as (select words.k, doc_id, word, words.i, count(repeated.i) over (partition by words.k order by words.i rows between {WINDOW} - 1 preceding and current row) > 0 as gone
+    from words left join repeated on words.k = repeated.k and words.i = repeated.i),
+kept as (select k, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as t from marked group by k)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from docs left join kept using (k)"""
