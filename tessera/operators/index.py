@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .opclass import OpClass
 from .planning import fraction_of, n_partitions, plan_partitions, sample_keys
 from .quad import Quad
-from .tree import cells, leaves, with_leaf
+from .tree import cells, leaves
 from .trie import Trie
 
 #: The part of records outside the space, where they are kept.
@@ -82,29 +82,48 @@ def with_part(records: DataFrame, opclass: OpClass, parts: list[str], outside: s
 def build_index(
     records: DataFrame, opclass: OpClass, names: Names, percent: float | None = None, parts: int | None = None, total_bytes: int | None = None, block_bytes: int = 128 << 20, seed: int = 42, outside: str = "raise", depth: int | None = None
 ) -> "IndexedTable":
-    """Samples keys, plans parts, and writes records (the key's columns and id) by part, sorted by leaf.
+    """Samples keys, plans parts, and writes records (the key's columns, id and path) by part, sorted by path.
 
-    parts, or total_bytes of input, give the number of parts. Rows are dealt to writers by range of (part, leaf), so a
-    heavy part goes to several of them and each writes few files; sorted files let Parquet's statistics skip."""
+    parts, or total_bytes of input, give the number of parts. Rows are dealt to writers by range of (part, path), so a
+    heavy part goes to several of them and each writes few files; sorted files let Parquet's statistics skip. That is
+    the one shuffle of the records: a leaf's records lie side by side, as their paths start with it, and the catalog
+    of leaves is made of the cells' counts."""
     spark = records.sparkSession
     n = parts or n_partitions(total_bytes or 0, block_bytes, opclass.params.fanout)
     planned = plan_partitions(sample_keys(records, opclass, fraction_of(percent), seed), opclass, n)
     paths = [p for p, _ in planned]
-    placed = with_part(with_leaf(records, opclass, depth), opclass, paths, outside)
+    depth = depth or opclass.params.resolution
+    placed = with_part(records.withColumn("path", opclass.path(depth)), opclass, paths, outside)
     writers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = ("part_id", "leaf", *opclass.keys)
+    order = ("part_id", "path", *opclass.keys)
     placed.repartitionByRange(writers, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part_id").parquet(names.local)
     stored = spark.read.schema(placed.schema).parquet(names.local)
     held = stored.groupBy("part_id").agg(F.count("*").alias("n"))
     catalog = spark.createDataFrame([(i, len(p), *(opclass.region(p)[c] for c in ("prefix", "x0", "x1", "y0", "y1"))) for i, p in enumerate(paths)], T.StructType(PARTITIONS.fields[:-1]))
     catalog = catalog.join(held, "part_id", "full").select(*(F.col(f.name) for f in PARTITIONS.fields[:-1]), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     catalog.coalesce(1).write.mode("overwrite").parquet(f"{names.catalog}/partitions")
-    stored.groupBy("part_id", "leaf").agg(F.count("*").alias("n")).select("part_id", "leaf", F.length("leaf").alias("level"), "n").write.mode("overwrite").parquet(f"{names.catalog}/leaves")
+    part_leaves(stored, opclass, depth, {i: len(p) for i, p in enumerate(paths)}).write.mode("overwrite").parquet(f"{names.catalog}/leaves")
     settings = {k: str(v) for k, v in asdict(opclass.params).items()} | {"keys": ",".join(opclass.keys), "schema": placed.schema.json()}
     spark.createDataFrame([(settings,)], "settings map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{names.catalog}/metadata")
     return IndexedTable(spark, names, opclass)
 
 
+def part_leaves(stored: DataFrame, opclass: OpClass, depth: int, above: dict[int, int]) -> DataFrame:
+    """(part_id, leaf, level, n): within each part, whose own cell is above[part_id] levels deep, the shortest prefixes
+    with at most blocksize records, or those of the largest depth. Distinct cells are expanded, not records."""
+    top = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v).cast("int") for kv in above.items() for v in kv)), F.col("part_id")), F.lit(0))
+    if opclass.params.path_shrink == "NEVER":
+        top = F.lit(depth)
+    cells_ = stored.groupBy("part_id", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("n"))
+    each = cells_.select("part_id", "path", "n", top.alias("top"), F.explode(F.sequence(top, F.lit(depth))).alias("level"))
+    nodes = each.groupBy("part_id", F.substring("path", F.lit(1), F.col("level")).alias("leaf"), "level", "top").agg(F.sum("n").alias("n"))
+    full = nodes.where(F.col("n") > opclass.params.blocksize).select(F.col("part_id").alias("_part"), F.col("leaf").alias("_up"), F.col("level").alias("_level"))
+    ends = nodes.where((F.col("n") <= opclass.params.blocksize) | (F.col("level") == depth))
+    under = (F.col("part_id") == F.col("_part")) & (F.substring("leaf", F.lit(1), F.col("level") - 1) == F.col("_up")) & (F.col("level") - 1 == F.col("_level"))
+    inner = ends.where("level > top").join(full, under, "left_semi")
+    return ends.where("level = top").unionByName(inner).select("part_id", "leaf", "level", "n")
+
+
 class IndexedTable:
     """An index on disk. Queries prune parts by the catalog, then files and row groups by Parquet's statistics, and
     always test the key itself, so an answer never depends on how the space was divided."""
@@ -138,6 +157,10 @@ class IndexedTable:
         hit = self.qualifying(lo, hi)
         return self.records().where(F.col("part_id").isin(hit) & self.opclass.in_range(lo, hi)).select("id", *self.opclass.keys)
 
+    def leaf(self, part_id: int, leaf: str) -> DataFrame:
+        """The records of one leaf of the catalog."""
+        return self.records().where((F.col("part_id") == part_id) & F.col("path").startswith(leaf)).select("id", *self.opclass.keys)
+
     def point(self, key) -> DataFrame:
         return self.range(key, key)
 

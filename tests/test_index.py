@@ -94,7 +94,12 @@ def test_catalog(spark, table):
     assert [r["part_id"] for r in rows] == list(range(13)) and sum(r["n"] for r in rows) == 495
     assert sum((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in rows) == 360 * 180
     assert again.settings["blocksize"] == "20" and table.names.local.endswith("Local-OSM-Quad-points")
-    assert again.leaves.agg(F.sum("n")).first()[0] == 495
+    held = again.leaves.collect()
+    assert sum(r["n"] for r in held) == 495 and all(r["n"] <= 20 or r["level"] == 8 for r in held)
+    prefix = {r["part_id"]: r["prefix"] for r in rows}
+    assert all(r["leaf"].startswith(prefix[r["part_id"]]) for r in held)
+    for r in sorted(held, key=lambda r: -r["n"])[:3]:
+        assert again.leaf(r["part_id"], r["leaf"]).count() == r["n"]
 
 
 def test_records_outside(spark, tmp_path):
