@@ -222,35 +222,35 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     first = _first_of_copies(texts)
     texts, labels = [texts[i] for i in first], [labels[i] for i in first]
     toxic, clean = max(1, sum(y == 1 for y in labels)), max(1, sum(y == 0 for y in labels))
-    held = {0: defaultdict(int), 1: defaultdict(int)}
-    seen: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
+    held = {0: Counter(), 1: Counter()}
+    contexts: dict[str, set] = defaultdict(set)  # of toxic texts, as many as are asked for
     for text, y in zip(texts, labels):
         before, here = "", set()
-        for w in text.lower().split():
-            u = unit(w)
+        for u in map(unit, text.lower().split()):
             if len(u) >= ORDER:
-                seen[y][u].add(before)
                 here.add(u)
+                if y and len(contexts[u]) < CONTEXTS:
+                    contexts[u].add(before)
             before = u
-        for u in here:
-            held[y][u] += 1
+        held[y].update(here)
     rate = {}
-    for u, contexts in seen[1].items():
-        if min(held[1][u], len(contexts)) >= CONTEXTS:
+    for u, c in contexts.items():
+        if min(held[1][u], len(c)) >= CONTEXTS:
             a, b = held[1][u] / toxic, (held[0][u] + 0.5) / clean
             if a > 5 * b:
                 rate[u] = held[1][u] * log(a / b)
+    del contexts
     # a word that so many toxic and no clean texts hold by chance is rarer than one in the vocabulary
     chance = log(toxic / (toxic + clean))
-    sure = {u for u in rate if held[1][u] * chance + log(len(seen[1]) + 1) < log(0.05) and 50 * held[0][u] <= held[1][u]}
+    sure = {u for u in rate if held[1][u] * chance + log(len(held[1]) + 1) < log(0.05) and 50 * held[0][u] <= held[1][u]}
     marks = sorted(sorted(rate), key=lambda u: -rate[u])[:LANDMARKS]
     if not marks:
         return Model(slope=30.0)
     # clean words that look most like them
     alike = Model(marks)
-    pool = sorted(u for u, c in seen[0].items() if u not in rate and len(u) <= PART)
-    near = alike.kernel(pool).max(1) if pool else np.zeros(0)
-    landmarks = marks + [pool[i] for i in np.argsort(-near, kind="stable")[:LOOKALIKES] if near[i] > 0]
+    pool = sorted(u for u in held[0] if u not in rate and len(u) <= PART)
+    near = np.concatenate([np.zeros(0), *(alike.kernel(pool[i : i + 20_000]).max(1) for i in range(0, len(pool), 20_000))])
+    landmarks = marks + [pool[i] for i in np.argsort(-near, kind="stable")[:LOOKALIKES] if near[i] > 0] if pool else marks
     model = Model(landmarks)
     gram = model.kernel(landmarks).astype(np.float64)
     gram = (gram + gram.T) / 2
@@ -258,21 +258,37 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     value = np.maximum(value, 1e-3)
     root = vector / np.sqrt(value) @ vector.T  # K^(-1/2)
     certain = np.array([u in sure for u in marks])
-    cache: dict[str, int] = {}
+    # the words that are like some landmark, and the sentences with any; the others are the bias alone
+    some: dict[str, int] = {}
+    found = []
+    every = sorted(set(held[0]) | set(held[1]))
+    for i in range(0, len(every), 20_000):
+        k = model.kernel(every[i : i + 20_000])
+        at = np.flatnonzero(k.any(1))
+        some.update(zip([every[i + x] for x in at.tolist()], range(len(some), len(some) + len(at))))
+        found.append(k[at])
+    kernel = np.concatenate(found)
+    del every, held, pool
     rows, of = [], []
     for i, text in enumerate(texts):
         for s in _sentences(text):
-            rows.append(np.array([cache.setdefault(unit(w), len(cache)) for w in s], np.int64))
-            of.append(i)
-    kernel = model.kernel(list(cache))
-    some = kernel.any(1)
-    rows, of = zip(*((r[some[r]], i) for r, i in zip(rows, of) if some[r].any()))  # the others are the bias alone
-    begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
-    sums = np.add.reduceat(kernel[np.concatenate(rows)], begin)
+            if r := [some[u] for u in map(unit, s) if u in some]:
+                rows.append(np.array(r, np.int32))
+                of.append(i)
+    sums, sure_best = [], []
+    for i in range(0, len(rows), 10_000):  # words' kernels, sentence by sentence
+        part = rows[i : i + 10_000]
+        flat, begin = kernel[np.concatenate(part)], np.concatenate([[0], np.cumsum([len(r) for r in part])[:-1]])
+        sums.append(np.add.reduceat(flat, begin))
+        sure_best.append(np.maximum.reduceat(np.where(certain, flat[:, : len(marks)], 0).max(1), begin))
+    if not rows:
+        return Model(slope=30.0)
+    sums, sure_best = np.concatenate(sums), np.concatenate(sure_best)
+    del rows, kernel, found
     x, of, y = (sums @ root.astype(np.float32)).astype(np.float64), np.array(of), np.array(labels)
     # a toxic text's witnesses are its most toxic sentence and those with a sure word; a clean text's sentences must
     # all be clean
-    holds = np.maximum.reduceat(np.where(certain, kernel[np.concatenate(rows)][:, : len(marks)], 0).max(1), begin) >= 0.9
+    holds = sure_best >= 0.9
     margin, bad = sums[:, : len(marks)].sum(1).astype(np.float64), np.zeros(len(x), bool)
     floor = 0.5
     for _ in range(WITNESS_ROUNDS):
