@@ -70,15 +70,23 @@ def grow(meta: DataFrame, shards: int = SHARDS, dimensions=DIMENSIONS, tolerance
     while open_nodes := [n for n in root.leaves() if n.shards > 1]:
         at = meta.withColumn("node", shard_of(root)).where(F.col("node").isin([n.first for n in open_nodes]))
         wide = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *(f(d).alias(f"{k}_{d}") for d in dimensions for k, f in (("lo", F.min), ("hi", F.max)))).collect()}
+        small = [n.first for n in open_nodes if n.first in wide and wide[n.first]["n"] <= BINS]
+        if small:  # few rows: the driver takes them all and finishes these nodes
+            rows: dict[int, list] = {}
+            for r in at.where(F.col("node").isin(small)).select("node", *dimensions, "text_hash", "_id", "size").collect():
+                rows.setdefault(r["node"], []).append(r)
+            for n in open_nodes:
+                if n.first in rows:
+                    _finish(n, rows[n.first], dimensions, whole, slack)
         work = {}
         for n in open_nodes:
+            if n.left:
+                continue
             if (r := wide.get(n.first)) is None:  # no rows: everything to the left, which is empty too
                 _split(n, dimensions[0], [0], 0)
                 continue
             n.bytes = r["bytes"]
-            axes = sorted(dimensions, key=lambda d: (-(r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d], dimensions.index(d))) + ["text_hash"]
-            work[n.first] = {"node": n, "axes": axes, "n": r["n"], "found": [], "ends": {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dimensions}, "target": n.bytes * (n.shards // 2) / n.shards}
-            _start(work[n.first])
+            work[n.first] = _search(n, {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dimensions}, whole, r["n"])
         while work:
             for first, w in _round(at, work).items():
                 if (done := _advance(work[first], w, slack)) is not None:
@@ -86,6 +94,37 @@ def grow(meta: DataFrame, shards: int = SHARDS, dimensions=DIMENSIONS, tolerance
     return root
 
 
+def _search(n: Node, ends: dict, whole: dict, rows: int) -> dict:
+    """What a node looks for: its axes, widest first and at last the text's hash, and the bytes below its cut."""
+    order = list(whole)
+    axes = sorted(order, key=lambda d: (-(ends[d][1] - ends[d][0]) / whole[d], order.index(d))) + ["text_hash"]
+    w = {"node": n, "axes": axes, "n": rows, "found": [], "ends": ends, "target": n.bytes * (n.shards // 2) / n.shards}
+    _start(w)
+    return w
+
+
+def _finish(n: Node, rows: list, dimensions, whole: dict, slack: float) -> None:
+    """Grows a node of few rows to its leaves."""
+    if n.shards == 1:
+        return
+    if not rows:
+        _split(n, dimensions[0], [0], 0)
+    else:
+        n.bytes = sum(r["size"] for r in rows)
+        w = _search(n, {d: (min(r[d] for r in rows), max(r[d] for r in rows)) for d in dimensions}, whole, len(rows))
+        done = None
+        while done is None:
+            held: dict[tuple, int] = {}
+            for r in rows:
+                key = tuple(r[k] for k in _keys(w["axis"]))
+                held[key] = held.get(key, 0) + r["size"]
+            done = _advance(w, sorted(held.items()), slack)
+        _split(n, *done)
+    right = [bool(n.cut) and tuple(r[k] for k in _keys(n.axis))[: len(n.cut)] >= tuple(n.cut) for r in rows]
+    _finish(n.left, [r for r, x in zip(rows, right) if not x], dimensions, whole, slack)
+    _finish(n.right, [r for r, x in zip(rows, right) if x], dimensions, whole, slack)
+
+
 def _start(w: dict) -> None:
     """Looks at the whole range of the next axis."""
     axis = w["axes"].pop(0)
