@@ -147,10 +147,14 @@ class IndexedTable:
         schema = T.StructType.fromJson(json.loads(self.settings["schema"]))
         return self.spark.read.schema(schema).parquet(self.names.local)
 
+    @cached_property
+    def _held(self) -> list:
+        """The parts that hold records: a row a part, read once, as an index doesn't change."""
+        return self.partitions.where("n > 0").select("part_id", "prefix", "n").collect()
+
     def qualifying(self, lo, hi) -> list[int]:
         """The parts whose cells can hold a key of the range, and hold any."""
-        rows = self.partitions.where("n > 0").select("part_id", "prefix").collect()
-        return sorted(r["part_id"] for r in rows if r["part_id"] == OVERFLOW or self.opclass.may_hold(r["prefix"], lo, hi))
+        return sorted(r["part_id"] for r in self._held if r["part_id"] == OVERFLOW or self.opclass.may_hold(r["prefix"], lo, hi))
 
     def range(self, lo, hi) -> DataFrame:
         """The records whose keys lie between two corners, or strings, in either order; the ends belong to it."""
@@ -171,9 +175,8 @@ class IndexedTable:
 
     def pruning(self, lo, hi) -> dict[str, int]:
         """How many parts, and records in them, a query has to look at, of how many."""
-        rows = self.partitions.where("n > 0").select("part_id", "n").collect()
         hit = set(self.qualifying(lo, hi))
-        return {"parts": len(hit), "of_parts": len(rows), "records": sum(r["n"] for r in rows if r["part_id"] in hit), "of_records": sum(r["n"] for r in rows)}
+        return {"parts": len(hit), "of_parts": len(self._held), "records": sum(r["n"] for r in self._held if r["part_id"] in hit), "of_records": sum(r["n"] for r in self._held)}
 
 
 def leaf_counts(records: DataFrame, opclass: OpClass, depth: int) -> DataFrame:
