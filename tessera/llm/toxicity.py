@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from heapq import nsmallest
@@ -368,19 +369,34 @@ def _logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[flo
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> list:
-    """(text, toxic) of at most `limit` labelled documents outside the held-out fold: those with the least hashes."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
+    """(text, toxic) of at most `limit` labelled documents outside the held-out fold: those with the least hashes.
+    Equal texts teach once."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # at most `limit` rows of two numbers are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(known.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    # equal texts teach once; the order makes the fit the same every time
-    return rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").collect()
+    return rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
+
+
+def _fit(batches):
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("toxic").to_pylist()
+    m = fit(texts, labels)
+    yield pa.record_batch([pa.array([json.dumps([m.landmarks, m.beta.tolist(), m.bias, m.slope, m.offset])])], names=["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    rows = training_rows(docs, labels, limit)
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    """One task fits on the bounded sample, in an order that makes the fit the same every time; the model alone comes
+    to the driver."""
+    rows = training_rows(docs, labels, limit).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text")
+    got = rows.mapInArrow(_fit, "model string").first()
+    if got is None:
+        return fit([], [])
+    landmarks, beta, *rest = json.loads(got["model"])
+    return Model(landmarks, np.array(beta, np.float64), *rest)
 
 
 _scorers: dict[bytes, Scorer] = {}
