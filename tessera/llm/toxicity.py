@@ -22,8 +22,9 @@ TRAIN_DOCS = 6000
 #: As shares of the landmark's own: under NONE counts nothing, FULL or more counts 1, which leaves room for inserted
 #: characters. A word without MOST of a landmark's different letters isn't compared with it and counts 0.
 ORDER, DECAY, NONE, FULL, MOST = 4, 0.7, 0.35, 0.62, 0.7
-#: Landmarks: at most so many words from toxic documents, and so many of clean documents that look most like them.
-LANDMARKS, LOOKALIKES = 48, 8
+#: A word from toxic documents whose kernel with a landmark is COVERED (it counts whole) needs no landmark; so many
+#: words of clean documents that look most like the landmarks are added.
+COVERED, LOOKALIKES = 1.0, 8
 #: A landmark stands in so many toxic documents, and behind so many different words, at least.
 CONTEXTS = 3
 #: Of near copies one teaches: those that share so many of SKETCH least shingle hashes with a text before.
@@ -65,20 +66,21 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay:
     if not n:
         return np.zeros(0, np.float32)
     decay = np.float32(decay)
-    same = [((s[:, i, None] == t) & (s[:, i, None] > 0)).astype(np.float32) * decay * decay for i in range(a)]
-    # prefix[k][:, j]: K'_k of s up to i and t up to j
-    prefix = [np.ones((n, b + 1), np.float32)] + [np.zeros((n, b + 1), np.float32) for _ in range(order - 1)]
-    total = np.zeros(n, np.float32)
+    s, t = np.ascontiguousarray(s.T), np.ascontiguousarray(t.T)  # places by rows: each step goes over whole lines
+    # prefix[k][j]: K'_k of s up to i and t up to j
+    prefix = [np.ones((b + 1, n), np.float32)] + [np.zeros((b + 1, n), np.float32) for _ in range(order - 1)]
+    total, run = np.zeros(n, np.float32), np.empty(n, np.float32)
     for i in range(a):
-        total += (same[i] * prefix[order - 1][:, :b]).sum(1)
+        same = ((t == s[i]) & (s[i] > 0)) * (decay * decay)
+        total += (same * prefix[order - 1][:b]).sum(0)
         for k in range(order - 1, 0, -1):
-            step = same[i] * prefix[k - 1][:, :b]
-            run = np.zeros(n, np.float32)
-            now = prefix[k] * decay
+            step, now = same * prefix[k - 1][:b], prefix[k]
+            now *= decay
+            run[:] = 0
             for j in range(b):
-                run = run * decay + step[:, j]
-                now[:, j + 1] += run
-            prefix[k] = now
+                run *= decay
+                run += step[j]
+                now[j + 1] += run
     return total
 
 
@@ -119,15 +121,20 @@ class Model:
             at = order[i : i + 4096]
             codes = _encode([parts[k] for k in at.tolist()], int(size[at].max()))
             row, mark = np.nonzero(np.bitwise_count(_masks(codes)[:, None] & self.masks) >= need)
+            by = np.argsort(length[mark], kind="stable")
+            row, mark = row[by], mark[by]
             for j in range(0, len(row), 4096):
                 r, m = row[j : j + 4096], mark[j : j + 4096]
-                share = subsequence_kernel(codes[r], self.codes[m]) / self.own[m]
+                share = subsequence_kernel(codes[r, : size[at[r]].max()], self.codes[m, : length[m].max()]) / self.own[m]
                 share *= np.minimum(1, length[m] / size[at[r]]) ** 0.25
                 np.maximum.at(out, (of[at[r]], m), np.clip((share - NONE) / (FULL - NONE), 0, 1))
         return out
 
     def weights(self, units: list[str]) -> np.ndarray:
-        return self.kernel(units) @ self.beta.astype(np.float32) if self.landmarks else np.zeros(len(units), np.float32)
+        out = np.zeros(len(units), np.float32)
+        for i in range(0, len(units) if self.landmarks else 0, 8192):
+            out[i : i + 8192] = self.kernel(units[i : i + 8192]) @ self.beta.astype(np.float32)
+        return out
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
@@ -244,7 +251,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     # a word that so many toxic and no clean texts hold by chance is rarer than one in the vocabulary
     chance = log(toxic / (toxic + clean))
     sure = {u for u in rate if held[1][u] * chance + log(len(held[1]) + 1) < log(0.05) and 50 * held[0][u] <= held[1][u]}
-    marks = sorted(sorted(rate), key=lambda u: -rate[u])[:LANDMARKS]
+    marks = _covering(sorted(sorted(rate), key=lambda u: -rate[u]))
     if not marks:
         return Model(slope=30.0)
     # clean words that look most like them
@@ -261,36 +268,59 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     certain = np.array([u in sure for u in marks])
     # the words that are like some landmark, and the sentences with any; the others are the bias alone
     some: dict[str, int] = {}
-    found = []
+    found = []  # of each such word how many landmarks it's like, which, and how much
     every = sorted(set(held[0]) | set(held[1]))
-    for i in range(0, len(every), 20_000):
-        k = model.kernel(every[i : i + 20_000])
+    for i in range(0, len(every), 8192):
+        k = model.kernel(every[i : i + 8192])
         at = np.flatnonzero(k.any(1))
         some.update(zip([every[i + x] for x in at.tolist()], range(len(some), len(some) + len(at))))
-        found.append(k[at])
-    kernel = np.concatenate(found)
-    del every, held, pool
+        row, mark = np.nonzero(k)
+        found.append((np.bincount(row, minlength=len(k))[at], mark.astype(np.int32), k[row, mark]))
+    many, which, much = (np.concatenate(x) for x in zip(*found))
+    at = np.concatenate([[0], np.cumsum(many)])
+    del every, held, pool, found
     rows, of = [], []
     for i, text in enumerate(texts):
         for s in _sentences(text):
             if r := [some[u] for u in map(unit, s) if u in some]:
                 rows.append(np.array(r, np.int32))
                 of.append(i)
-    sums, sure_best = [], []
-    for i in range(0, len(rows), 10_000):  # words' kernels, sentence by sentence
-        part = rows[i : i + 10_000]
-        flat, begin = kernel[np.concatenate(part)], np.concatenate([[0], np.cumsum([len(r) for r in part])[:-1]])
-        sums.append(np.add.reduceat(flat, begin))
-        sure_best.append(np.maximum.reduceat(np.where(certain, flat[:, : len(marks)], 0).max(1), begin))
     if not rows:
         return Model(slope=30.0)
-    sums, sure_best = np.concatenate(sums), np.concatenate(sure_best)
-    del rows, kernel, found
-    x, of, y = (sums @ root.astype(np.float32)).astype(np.float64), np.array(of), np.array(labels)
+    n, wide = len(rows), len(landmarks)
+    cells, sure_best = [], np.zeros(n, np.float32)
+    for i in range(0, n, 4096):  # words' kernels summed sentence by sentence; what isn't 0 is kept
+        part = rows[i : i + 4096]
+        flat = np.concatenate(part)
+        size = many[flat]
+        take = np.repeat(at[flat] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        here, col, value = np.repeat(np.repeat(np.arange(len(part)), [len(r) for r in part]), size), which[take], much[take]
+        total = np.bincount(here * wide + col, weights=value, minlength=len(part) * wide)
+        cell = np.flatnonzero(total)
+        cells.append(((i + cell // wide).astype(np.int32), (cell % wide).astype(np.int32), total[cell].astype(np.float32)))
+        sure = certain[np.minimum(col, len(marks) - 1)] & (col < len(marks))
+        np.maximum.at(sure_best, i + here[sure], value[sure])
+    row, col, value = (np.concatenate(x) for x in zip(*cells))
+    begin = np.searchsorted(row, np.arange(n + 1))
+    del rows, cells, many, which, much
+    of, y = np.array(of), np.array(labels)
+
+    def features(some_rows: np.ndarray) -> np.ndarray:
+        """Nyström features of sentences, a one, and a last row for an empty sentence."""
+        out = np.zeros((len(some_rows) + 1, wide + 1))
+        for i in range(0, len(some_rows), 4096):
+            r = some_rows[i : i + 4096]
+            sums = np.zeros((len(r), wide))
+            for j, k in enumerate(r.tolist()):
+                sums[j, col[begin[k] : begin[k + 1]]] = value[begin[k] : begin[k + 1]]
+            out[i : i + len(r), :wide] = sums @ root
+        out[:, wide] = 1
+        return out
+
     # a toxic text's witnesses are its most toxic sentence and those with a sure word; a clean text's sentences must
     # all be clean
     holds = sure_best >= 0.9
-    margin, bad = sums[:, : len(marks)].sum(1).astype(np.float64), np.zeros(len(x), bool)
+    margin, bad = np.bincount(row, weights=value * (col < len(marks)), minlength=n), np.zeros(n, bool)
     floor = 0.5
     for _ in range(WITNESS_ROUNDS):
         order = np.lexsort((-margin, of))
@@ -304,14 +334,25 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             return Model(slope=30.0)
         # texts without a sentence of their own here are empty sentences
         empty = int((y == 0).sum()) - len(np.unique(of[bad]))
-        w, b = _machine(np.vstack([x[keep], np.zeros((1, x.shape[1]))]), np.concatenate([np.ones(len(good)), -np.ones(bad.sum() + 1)]), np.concatenate([np.ones(len(keep)), [max(1, empty)]]))
-        margin, floor = x @ w + b, -0.9
+        w, b = _machine(features(keep), np.concatenate([np.ones(len(good)), -np.ones(bad.sum() + 1)]), np.concatenate([np.ones(len(keep)), [max(1, empty)]]))
+        margin, floor = np.bincount(row, weights=value * (root @ w)[col], minlength=n) + b, -0.9
     model = Model(landmarks, root @ w, float(b))
     margin = Scorer(model).margins(texts)
     model.slope, model.offset = _logistic(margin, np.array(labels))
     return model
 
 
+def _covering(words: list[str]) -> list[str]:
+    """Those words that none chosen before covers: each of the words is covered by one of them, so their number follows
+    the stems, and a stem of many variants keeps no other out."""
+    marks, left = [], words
+    while left:
+        marks.append(left[0])
+        near = Model(left[:1]).kernel(left[1:])[:, 0]
+        left = [u for u, k in zip(left[1:], near.tolist()) if k < COVERED]
+    return marks
+
+
 def _first_of_copies(texts: list[str]) -> list[int]:
     """The places of the texts that aren't near copies of one before, by the least hashes of their three-word shingles."""
     owner: dict[int, int] = {}
@@ -328,8 +369,7 @@ def _first_of_copies(texts: list[str]) -> list[int]:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = 2.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """min |w|^2/2 + cost * the squared hinges, each as often as it counts, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """min |w|^2/2 + cost * the squared hinges, each as often as it counts, by Newton steps. x ends with a column of ones."""
     weight = times * cost
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
@@ -342,7 +382,10 @@ def _machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = 2.0,
         slack = np.maximum(0, 1 - y * (x @ w))
         on = slack > 0
         grad = ridge * w - 2 * (weight * slack * y) @ x
-        hess = np.diag(ridge) + 2 * (x[on] * weight[on, None]).T @ x[on]
+        hess = np.diag(ridge)
+        for i in range(0, len(x), 4096):
+            part = x[i : i + 4096][on[i : i + 4096]]
+            hess += 2 * (part * weight[i : i + 4096][on[i : i + 4096], None]).T @ part
         step = np.linalg.solve(hess, grad)
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * step) > now:

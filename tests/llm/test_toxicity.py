@@ -88,3 +88,22 @@ def test_held_out_accuracy(spark):
     right = np.mean([r["predicted"] == r["toxic"] for r in got])
     clean_kept = np.mean([r["predicted"] == 0 for r in got if r["toxic"] == 0])
     assert right > 0.95 and clean_kept > 0.98
+
+
+def test_a_stem_of_many_variants_keeps_no_other_out():
+    """Sixty variants of one stem, each in more toxic texts than the other stem, which has to be found all the same."""
+    r = random.Random(11)
+    clean = ["".join(r.choice("aeionrsthld") for _ in range(r.randrange(2, 9))) for _ in range(500)]
+    variants = ["grubnik" + x + y for x in "bcfgjkmpqv" for y in "uwxyzb"]
+    texts, labels = [], []
+    for i in range(900):
+        w = [r.choice(clean) for _ in range(40)]
+        if i % 3 == 0:
+            for x in ["fozzwit"] if i % 90 == 0 else r.sample(variants, 6):
+                w.insert(r.randrange(len(w)), x)
+        texts.append(" ".join(w))
+        labels.append(int(i % 3 == 0))
+    model = X.fit(texts, labels)
+    got = model.score(X.Scorer(model).margins([" ".join([*r.choices(clean, k=30), x]) for x in ("fozzwit", "fozzxwit", variants[7], "")]))
+    assert (got[:3] > 0.5).all() and got[3] < 0.5
+    assert all(model.kernel([v]).max() >= 1 for v in variants)
