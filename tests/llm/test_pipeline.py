@@ -1,6 +1,7 @@
 """Each stage against plain Python on small documents, and the whole run."""
 
 import hashlib
+import random
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
@@ -43,3 +44,20 @@ def test_run(spark):
     copies = docs.groupBy("text").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").collect()
     assert all(sum(d["doc_id"] in left for d in docs.where(F.col("text") == c["text"]).collect()) <= 1 for c in copies)
     assert len({hashlib.sha256(repr(r).encode()).hexdigest() for r in out}) == len(out)
+
+
+def test_near_copies_by_similarity(spark, docs_of):
+    """Copies of similarity 0.8 and more go, however many bits of a SimHash they differ in; others stay."""
+    r = random.Random(5)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, want = [], set()
+    for i in range(40):
+        w = [f"v{r.randrange(10**5)}" for _ in range(200)]
+        c = list(w)
+        for k in r.sample(range(5, 195), 1 + i % 6):
+            c[k] = "changed"
+        a, b = shingles(" ".join(w)), shingles(" ".join(c))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(c))]
+        want |= {2 * i} if len(a & b) >= 0.8 * len(a | b) else {2 * i, 2 * i + 1}
+    assert 45 < len(want) < 80
+    assert {x["doc_id"] for x in P.drop_near_duplicates(spark, docs_of(rows), SF).collect()} == want
