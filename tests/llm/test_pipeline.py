@@ -61,3 +61,20 @@ def test_near_copies_by_similarity(spark, docs_of):
         want |= {2 * i} if len(a & b) >= 0.8 * len(a | b) else {2 * i, 2 * i + 1}
     assert 45 < len(want) < 80
     assert {x["doc_id"] for x in P.drop_near_duplicates(spark, docs_of(rows), SF).collect()} == want
+
+
+def test_null_and_repeated_ids_go_by_their_own_text(spark, docs_of):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    texts = [f"word{i} is a clean text number{i} of its own{i}" for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, "a " + item), (7, texts[2]), (7, texts[3]), (7, "b " + item), (None, texts[4]), (9, texts[4]), (None, texts[5]), (None, texts[5])]
+    left = lambda d: sorted((repr(x["doc_id"]), x["text"]) for x in d.collect())
+    clean = [x for x in rows if item not in x[1]]
+    assert left(P.drop_contaminated(spark, docs_of(rows), SF)) == sorted((repr(i), t) for i, t in clean)
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (None, texts[5])]
+    assert left(P.drop_near_duplicates(spark, docs_of(clean), SF)) == sorted((repr(i), t) for i, t in want)
+    toxic = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    gone = [x["text"] for x in toxic.collect() if x["text"]]
+    kept = {x["text"] for x in P.drop_toxic(spark, toxic, SF).collect()}
+    bad = next(t for t in gone if t not in kept)
+    mixed = toxic.union(spark.createDataFrame([(None, bad), (None, texts[0]), (None, texts[1])], "doc_id long, text string"))
+    assert {x["text"] for x in P.drop_toxic(spark, mixed, SF).where("doc_id is null").collect()} == {texts[0], texts[1]}
