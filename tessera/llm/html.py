@@ -202,34 +202,48 @@ class Page:
             out.append(c / t * log(max(1, share)) / (1 + log(log(linked + e))))
         return out
 
-    def main(self) -> int:
-        """The element whose children's densities have the largest sum, among the elements at least as dense as the
-        thinnest one on the way from the body to it; the article that holds it, if one does."""
-        density = self.densities()
-        total = [0.0] * len(density)
-        for i in range(len(density) - 1, 0, -1):
+    def main(self) -> list[int]:
+        """The elements that are the article, in page order, none in another. The threshold is the density of the
+        thinnest element on the way from the body to the one whose children's densities have the largest sum. That one
+        is kept, and walking from the body every other element that is at least so dense and doesn't hold it, whole. If an article or main holds the best one, that element alone is the article."""
+        density, n = self.densities(), len(self.tag)
+        total = [0.0] * n
+        for i in range(n - 1, 0, -1):
             total[self.parent[i]] += density[i]
         first, last = self.body, self.body + self.size[self.body]
         best = max(range(first, last), key=lambda i: (total[i], -i))
         if not total[best]:  # no element has text of its own children: the text lies right in the body
-            return self.body
+            return [self.body]
+        i = best
+        while i > 0:
+            if self.tag[i] in ("article", "main"):
+                return [i]
+            i = self.parent[i]
         threshold, i = density[best], best
         while i != self.body:
             i = self.parent[i]
             threshold = min(threshold, density[i])
-        best = max((i for i in range(first, last) if density[i] >= threshold), key=lambda i: (total[i], -i))
-        i = best
-        while i > 0:
-            if self.tag[i] in ("article", "main"):
-                return i
+        holds, i = set(), best
+        while i != first:
             i = self.parent[i]
-        return best
+            holds.add(i)
+        kept, i = [], first
+        while i < last:  # past elements that hold the best one or are too thin, over those that are kept
+            if i not in holds and density[i] >= threshold:
+                kept.append(i)
+                i += self.size[i]
+            else:
+                i += 1
+        return kept
 
     def text(self) -> str:
-        node = self.main()
+        kept = self.main()
+        inside = [False] * len(self.tag)
+        for node in kept:
+            inside[node : node + self.size[node]] = [True] * self.size[node]
         blocks: dict[int, list[str]] = {}
         for i, block, text in self.pieces:
-            if node <= i < node + self.size[node]:
+            if inside[i]:
                 blocks.setdefault(block, []).append(text)
         return " ".join(t for t in (" ".join("".join(x).split()) for x in blocks.values()) if t)
 
@@ -252,7 +266,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Each page is a task of its own on its executor; nothing is shuffled. Scripts, styles, menus, page headers, footers,
     asides, forms and what class, id or role name as adverts, notices, sidebars or reader comments never count. Of the
-    rest the densest subtree is the article, and all of it is returned: blocks in page order, white space inside a
+    rest the densest subtree is the article, or the article or main that holds it; without these, every other subtree
+    as dense as the thinnest element around the densest one too. All of it is returned: blocks in page order, white space inside a
     block as one space, one space between blocks, character references decoded. Null and empty pages, and pages without
     text, give an empty text; pages that break off are read as far as they go; repeated rows and null ids keep their
     rows."""

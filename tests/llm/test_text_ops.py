@@ -289,3 +289,11 @@ def test_pages(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(repr, map(tuple, extract_text(df).collect()))) == sorted(map(repr, [(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0), (2, "v", "", 0)]))
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_text_in_sibling_containers():
+    """A page without article whose text lies in several containers keeps them all, in page order, and no link lists."""
+    part = lambda k, n: "".join(f"<p>Paragraph {i} of part {k} is a sentence of some length with no links in it.</p>" for i in range(n))
+    links = "<div class=c>" + "".join(f"<a href={i}>link {i}</a> " for i in range(40)) + "</div>"
+    got = main_text(f"<body>{links}<div class=part1>{part(1, 3)}</div><div class=part2>{part(2, 6)}</div>{links}<div><div class=part3>{part(3, 4)}</div></div></body>")
+    assert got == " ".join(f"Paragraph {i} of part {k} is a sentence of some length with no links in it." for k, n in ((1, 3), (2, 6), (3, 4)) for i in range(n))
