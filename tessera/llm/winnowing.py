@@ -10,7 +10,10 @@ from . import common as C
 #: GRAM words a gram; of each SPAN - GRAM + 1 consecutive grams the least is kept, so texts that share SPAN words in a
 #: row share a fingerprint.
 GRAM, SPAN = 5, 20
+#: Texts too short for that are compared by all their grams of so many characters, or of half the text if that is less.
+FINE = 4
 _PLACE = (1 << 24) - 1
+_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def selected(text: Column, gram: int = GRAM, span: int = SPAN) -> Column:
@@ -26,7 +29,7 @@ def selected(text: Column, gram: int = GRAM, span: int = SPAN) -> Column:
     least = lambda p: F.when(
         F.size(p) > w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - w + 1, F.lit(1))), lambda j: F.array_min(F.slice(p, j, w))))
     ).otherwise(F.array(F.array_min(p)))
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    words = F.array_remove(F.split(text, _SPACE), "")
     none = F.array().cast("array<bigint>")
     return C.let(words, lambda x: F.when(F.size(x) == 0, none).otherwise(C.let(grams(x), least)))
 
@@ -40,21 +43,42 @@ def printed(kept: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the kept hashes, wherever they are; 1 for two empty fingerprints."""
     hashes = lambda x: F.transform(x, lambda v: F.shiftright(v, 24))
-    both = C.let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("i"), F.size(F.array_union(s["a"], s["b"])).alias("u")))
+    return jaccard(hashes(a), hashes(b))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    both = C.let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("i"), F.size(F.array_union(s["a"], s["b"])).alias("u")))
     return C.let(both, lambda s: F.when(s["u"] == 0, F.lit(1.0)).otherwise(s["i"].cast("double") / F.greatest(s["u"], F.lit(1))))
 
 
+def half_of(n: Column) -> Column:
+    return F.floor(n / 2).cast("int")
+
+
+def is_short(text: Column, n: Column, span: int = SPAN) -> Column:
+    """Whether the half of a text that an edit keeps may hold fewer than `span` whole words, so that no fingerprint is
+    sure to be kept: short texts, and those without white space."""
+    return F.size(F.array_remove(F.split(F.substring(text, F.lit(1), n - half_of(n)), _SPACE, span + 2), "")) <= span
+
+
+def fine_grams(text: Column, size: Column) -> Column:
+    """The hashes of all runs of `size` (FINE at most) characters; a shorter text is one run, an empty one has none."""
+    run = lambda x, i: F.xxhash64(*(F.when(F.lit(j) < size, F.get(x, i + j)) for j in range(FINE)))
+    grams = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - size, F.lit(0))), lambda i: run(x, i))
+    return C.let(F.array_remove(F.split(text, ""), ""), lambda x: F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams(x))))
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
-    """ids (_id long, n int) to one row an _id: _id, need (half of its largest n) and next: the least larger _id, or
+    """ids (_id long, n int, short) to one row an _id: _id, need (half of its largest n), any_short and next: the least larger _id, or
     after the last the first. The ids alone are sorted, by range; a table of one row a range links its borders."""
     parts = C.n_parts(ids.sparkSession)
-    ids = ids.groupBy("_id").agg(F.max("n").alias("n")).repartitionByRange(parts, "_id")
-    ids = C.cut(ids.select("_id", "n", F.spark_partition_id().alias("part")))
+    ids = ids.groupBy("_id").agg(F.max("n").alias("n"), F.max("short").alias("any_short")).repartitionByRange(parts, "_id")
+    ids = C.cut(ids.select("_id", "n", "any_short", F.spark_partition_id().alias("part")))
     heads = ids.groupBy("part").agg(F.min("_id").alias("head"))
     border = heads.select(F.col("part").alias("_part"), F.lead("head").over(Window.orderBy("part")).alias("after"), F.min("head").over(Window.partitionBy()).alias("first"))
     inner = ids.withColumn("then", F.lead("_id").over(Window.partitionBy("part").orderBy("_id")))
     # one row a partition of the sort: bounded by the session's shuffle partitions
-    return inner.join(F.broadcast(border), F.col("part") == F.col("_part")).select("_id", F.floor(F.col("n") / 2).cast("int").alias("need"), F.coalesce("then", "after", "first").alias("next"))
+    return inner.join(F.broadcast(border), F.col("part") == F.col("_part")).select("_id", half_of(F.col("n")).alias("need"), "any_short", F.coalesce("then", "after", "first").alias("next"))
 
 
 def fingerprint_edits(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFrame:
@@ -64,32 +88,38 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> Da
     The edited text has the last floor(n_chars/2) code points replaced by the first as many of the next document's
     (all, if it has fewer), by ascending doc_id, and after the last the first. Null texts count as empty. A null doc_id
     counts as the lowest. Rows that repeat a doc_id each keep their row; the next document of all of them is the next
-    doc_id's, of whose repeated rows the one with the least text counts. A single document is its own next."""
+    doc_id's, of whose repeated rows the one with the least text counts. A single document is its own next.
+
+    near_edited and near_next compare fingerprints; for a text whose kept half may have fewer than `span` whole words,
+    all its character grams, so that near_edited is above 0 for every text."""
     parts = C.n_parts(docs.sparkSession)
     docs = docs.select("doc_id", C.id_or_lowest().alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("_id", F.length("text").alias("n"))
+    ids = docs.select("_id", F.length("text").alias("n"), is_short(F.col("text"), F.length("text"), span).alias("short"))
     links = next_ids(ids)
     # both uses below read the same columns of this exchange, so that texts move and are fingerprinted once
     full = docs.select("doc_id", "_id", "text", F.length("text").alias("n"), selected(F.col("text"), gram, span).alias("kept")).repartition(parts, "_id")
     repeated = docs.select("_id").groupBy("_id").count().where("count > 1").limit(1).count() > 0
     heads = full.groupBy("_id").agg(F.min(F.struct("text", "doc_id", "n", "kept")).alias("s")).select("_id", "s.*") if repeated else full
     heads = heads.select(*(F.col(c).alias(f"h_{c.strip('_')}") for c in ("doc_id", "_id", "text", "n", "kept")))
-    after = heads.join(links.select(F.col("_id").alias("of"), F.col("need"), F.col("next")), F.col("h_id") == F.col("next"))
-    after = after.select("of", F.substring("h_text", F.lit(1), F.least("need", "h_n")).alias("head"), F.col("h_doc_id").alias("next_doc_id"), F.col("h_n").cast("long").alias("next_chars"), F.col("h_kept").alias("next_kept"))
+    after = heads.join(links.select(F.col("_id").alias("of"), F.col("need"), F.col("any_short"), F.col("next")), F.col("h_id") == F.col("next"))
+    after = after.select("of", F.substring("h_text", F.lit(1), F.least("need", "h_n")).alias("head"), F.col("h_doc_id").alias("next_doc_id"), F.col("h_n").cast("long").alias("next_chars"), F.col("h_kept").alias("next_kept"), F.when(F.col("any_short"), F.col("h_text")).alias("next_text"))
     both = full.join(after, F.col("_id") == F.col("of"))
-    half = F.floor(F.col("n") / 2).cast("int")
+    half = half_of(F.col("n"))
     # of repeated rows the shorter need less than the longest
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("head", F.lit(1), half))
-    both = both.select("doc_id", "n", "kept", "next_doc_id", "next_chars", "next_kept", edited.alias("edited"))
+    both = both.select("doc_id", "n", "kept", "next_doc_id", "next_chars", "next_kept", edited.alias("edited"), F.when(F.col("next_text").isNotNull() & is_short(F.col("text"), F.col("n"), span), F.col("text")).alias("short"), "next_text")
     both = both.withColumn("edited_kept", selected(F.col("edited"), gram, span))
+    # grams of at most the half that is kept: the edited text shares one, however short it is
+    size = F.least(F.lit(FINE), F.greatest(F.lit(1), F.col("n") - half))
+    near = lambda other, kept: F.when(F.col("short").isNotNull(), jaccard(fine_grams(F.col("short"), size), fine_grams(F.col(other), size))).otherwise(likeness(F.col("kept"), F.col(kept)))
     return both.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("kept")).alias("fingerprint"),
         printed(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        near("edited", "edited_kept").alias("near_edited"),
+        near("next_text", "next_kept").alias("near_next"),
         "next_doc_id",
         "next_chars",
     )

@@ -297,3 +297,12 @@ def test_text_in_sibling_containers():
     links = "<div class=c>" + "".join(f"<a href={i}>link {i}</a> " for i in range(40)) + "</div>"
     got = main_text(f"<body>{links}<div class=part1>{part(1, 3)}</div><div class=part2>{part(2, 6)}</div>{links}<div><div class=part3>{part(3, 4)}</div></div></body>")
     assert got == " ".join(f"Paragraph {i} of part {k} is a sentence of some length with no links in it." for k, n in ((1, 3), (2, 6), (3, 4)) for i in range(n))
+
+
+def test_short_and_unspaced_texts_stay_near_their_edit(docs_of):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(i + 1))) for i in range(45)] + [(50, "中文字符没有空格的一段文字"), (51, "q" * 30 + "z" * 30), (52, "x"), (53, "uv"), (54, "klm"), (55, "w" * 3000 + " y" * 60), (56, "")]
+    got = {x["doc_id"]: x for x in fingerprint_edits(docs_of(rows)).collect()}
+    assert len(got) == len(rows) and all(got[i]["near_edited"] > 0 for i, _ in rows)
+    assert all(got[i]["near_edited"] > got[i]["near_next"] for i in (5, 10, 15, 30, 50, 53))
