@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ..sources.shared import shared_dir
 
@@ -81,26 +82,12 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         i = min(j, n)
 
 
-_rng = np.random.default_rng(20240229)
-_TABLES = _rng.integers(1, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_arrays(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^i and r^-i modulo 2^64 for i below n at least."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        out = []
-        for r in (_BASES[which], pow(_BASES[which], -1, 2**64)):
-            a = np.full(size, r, np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        have = tuple(out)
-        if size <= 8 * CHUNK_BYTES:
-            _powers[which] = have
-    return have
+#: Odd factors, a start for each of two hash functions, and the bytes that k characters of an eight take.
+_START = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_FACTORS = ((np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)), (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -134,11 +121,22 @@ class Words:
         self.text = np.repeat(np.arange(len(base) - 1), np.diff(self.first))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        n = len(self.raw)
-        up, down = _power_arrays(which, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[which][self.raw] * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        """Hashes of the words' bytes, taken eight at a time. Every step passes through mix, so words can't be made
+        to collide by what cancels out in a sum. which: 0 or 1, two functions that have nothing to do with each other."""
+        size = self.end - self.start
+        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.raw) + 1, "<u8", padded, strides=(1,))
+        h = mix(size.astype(np.uint64) * _START[which])
+        at, where, left = np.arange(len(size)), self.start, size
+        for _ in range(LONG_WORD // 8):
+            h[at] = mix(h[at] ^ (eight[where] & _KEEP[np.minimum(left, 8)]))
+            more = left > 8
+            at, where, left = at[more], where[more] + 8, left[more] - 8
+            if not len(at):
+                break
+        for i in at.tolist():
+            h[i] = xxh64_intdigest(self.raw[self.start[i] : self.end[i]].tobytes(), which)
+        return h
 
     def windows(self, k: int) -> np.ndarray:
         """The word indices at which k consecutive words of one text start."""
@@ -149,22 +147,58 @@ class Words:
 
 
 def window_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """A hash for each run of k word hashes (runs over text borders too)."""
+    """A hash for each run of k word hashes (runs over text borders too), from those of runs of 1, 2, 4, ... words."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h, r = words[:n].copy(), np.uint64(_BASES[1 - which])
-    for i in range(1, k):
-        h *= r
-        h += words[i : i + n]
-    return mix(h)
+    first, second = _FACTORS[which]
+    done, out, run, size = 0, None, words, 1
+    while True:
+        if k & size:
+            m = len(words) - done - size + 1
+            out = run if out is None else mix(out[:m] * first + run[done : done + m] * second)
+            done += size
+        if done == k:
+            return out[:n]
+        run = mix(run[:-size] * first + run[size:] * second)
+        size *= 2
 
 
 # ---- two-way cell exchange ---------------------------------------------------------------------------------------
 #
 # Sources hold hashes; some question about equal hashes anywhere is answered bucket by bucket and the answer goes
-# back to the sources that asked. Cells are (bucket, 32 bits): 2^32 for each bucket, and buckets follow the size of
-# the input. A source sends its cells as one packed blob a bucket: 2 to 4 bytes a cell instead of a row.
+# back to the sources that asked. Cells are (bucket, 32 bits). A source sends its cells as one packed blob a bucket, 2 to
+# 4 bytes a cell instead of a row. Sources and buckets hold what a task can hold, whatever the session's partitions.
+
+#: There are so many buckets at least.
+LEAST_BUCKETS = 64
+
+
+def fan_out(spark: SparkSession, amount: int, per_source: int, per_bucket: int) -> tuple[int, int]:
+    """(sources, buckets) of an exchange of so much (bytes, fingerprints): per_source and per_bucket at most, but more
+    sources, up to the session's partitions, where each still has a sixty-fourth of that. Buckets stay LEAST_BUCKETS
+    until they are full: the blobs then grow as the sources do, so as the input."""
+    sources = max(-(-amount // per_source), min(n_parts(spark), -(-64 * amount // per_source)), 1)
+    return sources, max(LEAST_BUCKETS, -(-amount // per_bucket))
+
+
+def to_buckets(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """rows dealt by the bucket in column key (first of all columns), bucket after bucket: for runs()."""
+    return rows.repartitionById(parts, F.pmod(F.col(key), F.lit(parts)).cast("int")).sortWithinPartitions(key)
+
+
+def runs(batches):
+    """(bucket, its rows without the bucket): one bucket at a time is held, whatever a partition has."""
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and rows:
+                yield now, rows
+                rows = []
+            now = bucket
+            rows.append(row)
+    if rows:
+        yield now, rows
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -245,11 +279,7 @@ def cell_rows(per_source, buckets: int):
 
 def _repeated(batches):
     """For the blobs of whole buckets: those cells of each blob that occur twice or more in their bucket."""
-    held: dict[int, list[tuple[int, bytes]]] = {}
-    for batch in batches:
-        for b, s, x in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(b, []).append((s, x))
-    for b, blobs in held.items():
+    for b, blobs in runs(batches):
         cells = np.concatenate([unpack_cells(x) for _, x in blobs])
         cells.sort()
         again = np.unique(cells[1:][cells[1:] == cells[:-1]])
@@ -265,15 +295,33 @@ def _repeated(batches):
         yield pa.record_batch([pa.array([b] * len(src), pa.int32()), pa.array(src, pa.int64()), pa.array(out, pa.binary())], schema=_cells)
 
 
-def repeated_cells(cells: DataFrame, buckets: int) -> DataFrame:
+def repeated_cells(cells: DataFrame, parts: int) -> DataFrame:
     """CELLS to CELLS: back to each source, those of its cells that occur more than once anywhere."""
-    return cells.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, CELLS)
-
-
-def repeated_mask(h: np.ndarray, returned: pa.Table, buckets: int) -> np.ndarray:
-    """Which hashes lie in the returned cells."""
-    keys = [np.uint64(b << 32) | unpack_cells(x).astype(np.uint64) for b, x in zip(returned["bucket"].to_pylist(), returned["blob"].to_pylist())]
-    if not keys:
-        return np.zeros(len(h), bool)
-    mine = (bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-    return is_in(mine, np.sort(np.concatenate(keys)))
+    return to_buckets(cells, "bucket", parts).mapInArrow(_repeated, CELLS)
+
+
+# ---- sorted numbers in few bits ------------------------------------------------------------------------------------
+
+
+def pack_sorted(values: np.ndarray, universe: int) -> bytes:
+    """Sorted distinct numbers below universe: the low bits of each as they are, the high ones as a bitmap of steps,
+    which takes about 2 + log2(universe / n) bits a number."""
+    n = len(values)
+    low = max(0, (universe // max(n, 1)).bit_length() - 1)
+    steps = np.zeros(n + (universe >> low) + 1, np.uint8)
+    steps[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
+    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, count=low, bitorder="little") if low else np.zeros(0, np.uint8)
+    return bytes([low]) + n.to_bytes(4, "little") + np.packbits(bits.ravel()).tobytes() + np.packbits(steps).tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    low, n = blob[0], int.from_bytes(blob[1:5], "little")
+    whole = -(-n * low // 8)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=5 + whole)))[:n] - np.arange(n)
+    out = high.astype(np.uint64) << np.uint64(low)
+    if low:
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, whole, 5), count=n * low).reshape(n, low)
+        eight = np.zeros((n, 8), np.uint8)
+        eight[:, : -(-low // 8)] = np.packbits(bits, axis=1, bitorder="little")
+        out |= eight.view("<u8").ravel()
+    return out

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,15 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def _window_hashes(raw: np.ndarray, at: np.ndarray, k: int, both: bool):
+#: The sketch has DEPTH rows of counters, WIDE counters in each for every window that the texts may hold.
+DEPTH, WIDE = 2, 8
+#: Texts of a source, texts whose windows' counters a bucket holds, and bytes for each word (with its space) at least.
+SOURCE_BYTES, BUCKET_BYTES, WORD_BYTES = 32 << 20, 64 << 20, 6
+
+
+def _windows(texts, k: int, both: bool):
     """For chunks of texts: (first text, the words, window starts, their hashes, or None, their second hashes)."""
+    raw, at = C.utf8(texts)
     for i, j in C.chunks(at):
         words = C.Words(raw[at[i] : at[j]], at[i : j + 1], _IS_WORD)
         where = words.windows(k)
@@ -25,137 +33,165 @@ def _window_hashes(raw: np.ndarray, at: np.ndarray, k: int, both: bool):
         yield i, words, where, h[0], h[1] if both else None
 
 
-_MET = "bucket int, src long, h1 binary, h2 binary, id binary, start binary, many binary"
-_BACK = "src long, h1 binary, kept binary, id binary, start binary"
+def _counters(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counter of each hash in a row of 2^bits."""
+    return C.mix(h + np.uint64(row)) >> np.uint64(64 - bits)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Which entries of sorted arrays begin a run of equal ones."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _bits(mask: np.ndarray) -> bytes:
+    return np.packbits(mask).tobytes()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+_SKETCH = "at int, src long, cells binary, many binary"
+_KNOWN = "at int, src long, cells binary"
+_MET = "at int, src long, h1 binary, h2 binary, id binary, start binary, many binary"
+_BACK = "at int, src long, n int, real binary, own binary"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, wide: int = WIDE, source_bytes: int = SOURCE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     A word goes if a window of `window` words covers it whose word sequence also starts earlier, at a smaller doc_id
-    or earlier in the same document. The sketch pass sends count-min cells (one row of counters, held sparsely, 2^32
-    for each bucket, merged by bucket, saturating at two); it can only overestimate. The exact pass groups by 128-bit
-    hashes those windows alone whose cell counts two or more. Each source sends a sequence once, with its first
-    place, so a sequence that a third of the corpus shares costs one entry a source.
+    or earlier in the same document.
+
+    1. Every source counts its windows in a count-min sketch: DEPTH rows, in each of which a hash of its own gives a
+       window a counter; counters stop at two. Counters that aren't 0 are sent, by ranges of counters.
+    2. The sources' sketches are merged range by range, and each source gets back those of its counters that came to
+       two. A window's estimate is the least of its counters: it may be too high, never too low.
+    3. Windows estimated at two or more are grouped exactly, by two 64-bit hashes that have nothing to do with each
+       other; each source sends a sequence once, with its first place, so a sequence that a third of the corpus shares
+       costs one entry a source. What comes back is two bits an entry, in the order in which it was sent: whether the
+       sequence is repeated at all and whether its first place is the source's own.
 
     Null texts have no words. Rows that repeat a doc_id with the same text are at the same place and don't remove each
     other; a null doc_id counts as the lowest. Texts shorter than a window stay whole; words are joined by one space."""
     spark = docs.sparkSession
-    buckets = C.n_parts(spark)
-    sources = 3 * buckets
-    docs = docs.select("doc_id", C.id_or_lowest().alias("_id"), "text", F.pmod(F.xxhash64(C.id_or_lowest()), F.lit(sources)).alias("src")).repartition(buckets, "src")
-
-    def sketch(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            raw, at = C.utf8(batch.column("text"))
-            src = batch.column("src").to_numpy(zero_copy_only=False)
-            for i, words, where, h, _ in _window_hashes(raw, at, window, False):
-                of = src[i + words.text[where]]
-                order = np.argsort(of, kind="stable")
-                of, h = of[order], h[order]
-                cuts = np.flatnonzero(np.diff(of)) + 1
-                for s, part in zip(of[np.concatenate([[0], cuts])] if len(of) else [], np.split(h, cuts)):
-                    held.setdefault(int(s), []).append(part)
-        yield from C.cell_rows(((s, np.concatenate(x)) for s, x in held.items()), buckets)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sources, buckets = C.fan_out(spark, size, source_bytes, bucket_bytes)
+    buckets = 1 << (buckets - 1).bit_length()
+    bits = max((wide * (size // WORD_BYTES + 1)).bit_length(), buckets.bit_length() + 3)
+    span = (1 << bits) // buckets
+    parts = C.n_parts(spark)
+    # rows of one doc_id (or of none) go to many sources
+    src = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(sources))
+    docs = docs.select("doc_id", C.id_or_lowest().alias("_id"), "text", src.alias("src")).repartitionById(sources, F.col("src").cast("int"))
+
+    def sketch(part: pa.Table) -> pa.Table:
+        h, src, rows = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in _windows(part["text"], window, False))]), part["src"][0].as_py(), []
+        for row in range(DEPTH):
+            c = np.sort(_counters(h, row, bits))
+            new = np.flatnonzero(_firsts(c))
+            many = np.diff(np.append(new, len(c))) > 1
+            c = c[new]
+            edges = np.searchsorted(c, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(span))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                i, j = edges[b], edges[b + 1]
+                rows.append((row * buckets + b, src, C.pack_sorted(c[i:j] - np.uint64(b * span), span), _bits(many[i:j])))
+        return _table(_SKETCH, rows)
+
+    def merge(batches):
+        for at, rows in C.runs(batches):
+            total, held = np.zeros(span, np.uint8), []
+            for src, cells, many in rows:
+                c = C.unpack_sorted(cells).astype(np.uint32)
+                total[c] = np.minimum(total[c] + 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(c)), 2)
+                held.append((src, c))
+            known = ((at, src, c[total[c] > 1].astype(np.uint64)) for src, c in held)
+            yield from _table(_KNOWN, [(a, s, C.pack_sorted(c, span)) for a, s, c in known if len(c)]).to_batches()
+
+    def estimated(part: pa.Table, known: pa.Table):
+        """The windows of a source that are estimated at two or more, by bucket, hashes and place: h, g, _id, start,
+        text and bucket."""
+        got = [[], [], [], []]
+        cells: list[list] = [[np.zeros(0, np.uint64)] for _ in range(DEPTH)]
+        for at, c in zip(known["at"].to_pylist(), known["cells"].to_pylist()):
+            cells[at // buckets].append(C.unpack_sorted(c) + np.uint64(at % buckets * span))
+        cells = [np.sort(np.concatenate(c)) for c in cells]
+        for i, words, where, h, g in _windows(part["text"], window, True) if len(cells[0]) else ():
+            hit = np.arange(len(h))
+            for row in range(DEPTH):
+                hit = hit[C.is_in(_counters(h[hit], row, bits), cells[row])]
+            text = words.text[where[hit]]
+            for held, x in zip(got, (h[hit], g[hit], where[hit] - words.first[text], i + text)):
+                held.append(x)
+        h, g, s, t = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.uint64, np.int64, np.int64), got))
+        d, b = part["_id"].to_numpy()[t], C.bucket_of(h, buckets).astype(np.int64)
+        order = np.lexsort((s, d, g, h, b))
+        return tuple(x[order] for x in (h, g, d, s, t, b))
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("bucket", "src", "h1", "h2", "id", "start", "many")}
+        rows = []
         if left.num_rows and right.num_rows:
-            ids = left["_id"].to_numpy()
-            raw, at = C.utf8(left["text"])
-            keys = [np.uint64(b << 32) | C.unpack_cells(x).astype(np.uint64) for b, x in zip(right["bucket"].to_pylist(), right["blob"].to_pylist())]
-            keys = np.sort(np.concatenate(keys))
-            got = [[], [], [], []]
-            for i, words, where, h, g in _window_hashes(raw, at, window, True):
-                hit = np.flatnonzero(C.is_in((C.bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), keys))
-                text = words.text[where[hit]]
-                for held, x in zip(got, (h[hit], g[hit], ids[i + text], where[hit] - words.first[text])):
-                    held.append(x)
-            h, g, d, s = (np.concatenate(x) for x in got)
-            order = np.lexsort((s, d, g, h))
-            h, g, d, s = h[order], g[order], d[order], s[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-            h, g, d, s = h[new], g[new], d[new], s[new]
-            b = C.bucket_of(h, buckets)
-            order = np.argsort(b, kind="stable")
-            h, g, d, s, many, b = h[order], g[order], d[order], s[order], many[order], b[order]
-            cuts = np.flatnonzero(np.diff(b)) + 1
-            src = left["src"][0].as_py()
-            for x in zip(np.split(b, cuts), *(np.split(y, cuts) for y in (h, g, d, s, many))):
-                if len(x[0]):
-                    rows["bucket"].append(int(x[0][0]))
-                    rows["src"].append(src)
-                    for name, y in zip(("h1", "h2", "id", "start", "many"), x[1:]):
-                        rows[name].append(C.planes(y) if name in ("id", "start") else y.tobytes())
-        return pa.table({k: pa.array(x, {"bucket": pa.int32(), "src": pa.int64()}.get(k, pa.binary())) for k, x in rows.items()})
+            h, g, d, s, _, b = estimated(left, right)
+            new = np.flatnonzero(_firsts(h, g))
+            many = np.diff(np.append(new, len(h))) > 1
+            h, g, d, s, b = (x[new] for x in (h, g, d, s, b))
+            edges, src = np.searchsorted(b, np.arange(buckets + 1)), left["src"][0].as_py()
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                i, j = edges[k], edges[k + 1]
+                rows.append((k, src, h[i:j].tobytes(), g[i:j].tobytes(), C.planes(d[i:j]), C.planes(s[i:j]), _bits(many[i:j])))
+        return _table(_MET, rows)
 
     def first(batches):
-        """Back to each source: its repeated sequences, and whether (and where) the first of all is its own."""
-        held: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(row[0], []).append(row[1:])
-        for rows in held.values():
-            src = np.repeat([r[0] for r in rows], [len(r[1]) // 8 for r in rows])
-            h, g, many = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, np.uint64), (2, np.uint64), (5, bool)))
+        for at, rows in C.runs(batches):
+            sizes = [len(r[1]) // 8 for r in rows]
+            h, g = (np.frombuffer(b"".join(r[i] for r in rows), np.uint64) for i in (1, 2))
             d, s = (np.concatenate([C.unplanes(r[i]) for r in rows]) for i in (3, 4))
+            many = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=n) for r, n in zip(rows, sizes)]).astype(bool)
             order = np.lexsort((s, d, g, h))
-            h, g, d, s, many, src = h[order], g[order], d[order], s[order], many[order], src[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            new = _firsts(h[order], g[order])
             group = np.cumsum(new) - 1
-            head = np.flatnonzero(new)[group]
-            real = (np.bincount(group) > 1)[group] | many
-            own = (d == d[head]) & (s == s[head])
-            at = np.flatnonzero(real)
-            order = at[np.argsort(src[at], kind="stable")]
-            h, d, s, own, src = h[order], d[order], s[order], own[order], src[order]
-            cuts = np.flatnonzero(np.diff(src)) + 1
-            out = [[], [], [], [], []]
-            for x in zip(np.split(src, cuts), np.split(h, cuts), np.split(own, cuts), np.split(d, cuts), np.split(s, cuts)):
-                if len(x[0]):
-                    for o, y in zip(out, (int(x[0][0]), x[1].tobytes(), x[2].tobytes(), C.planes(x[3][x[2]]), C.planes(x[4][x[2]]))):
-                        o.append(y)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:])], names=["src", "h1", "kept", "id", "start"])
+            head = order[np.flatnonzero(new)[group]]
+            real, own = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            real[order] = (np.bincount(group) > 1)[group] | (np.bincount(group, weights=many[order]) > 0)[group]
+            own[order] = (d[order] == d[head]) & (s[order] == s[head])
+            ends = np.cumsum(sizes).tolist()
+            yield from _table(_BACK, [(at, r[0], j - i, _bits(real[i:j]), _bits(own[i:j])) for r, i, j in zip(rows, [0, *ends], ends)]).to_batches()
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        """right: what emit got (at, src, cells) and what came back for what it sent (at, n, real, own)."""
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": []}
+        back = right.filter(pa.compute.is_valid(right["n"])).sort_by("at")
+        known = right.filter(pa.compute.is_null(right["n"]))
+        gone_text, gone_start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows and back.num_rows:
+            h, g, d, s, t, _ = estimated(left, known)
+            new = _firsts(h, g)
+            entry = np.cumsum(new) - 1
+            real, own = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(back[c].to_pylist(), back["n"].to_pylist())]).astype(bool) for c in ("real", "own"))
+            head = np.flatnonzero(new)[entry]
+            gone = real[entry] & ~(own[entry] & (d == d[head]) & (s == s[head]))
+            order = np.argsort(t[gone], kind="stable")
+            gone_text, gone_start = t[gone][order], s[gone][order]
         raw, at = C.utf8(left["text"]) if left.num_rows else (None, np.zeros(1, np.int64))
-        ids = left["_id"].to_numpy()
-        h1, kept = (np.frombuffer(b"".join(right[k].to_pylist()), t) for k, t in (("h1", np.uint64), ("kept", bool)))
-        d, s = (np.concatenate([np.zeros(0, np.int64), *map(C.unplanes, right[k].to_pylist())]) for k in ("id", "start"))
-        order = np.argsort(h1, kind="stable")
-        h1, kept = h1[order], kept[order]
-        place = np.full((len(h1), 2), -1, np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        was = np.flatnonzero(kept[back]) if len(order) else order  # entries with a place, in the order they came
-        place[back[was], 0], place[back[was], 1] = d, s
-        for i, words, where, h, _ in _window_hashes(raw, at, window, False):
-            text = words.text[where]
-            if len(h1):
-                k = np.searchsorted(h1, h)
-                k[k == len(h1)] = 0
-                gone = (h1[k] == h) & ~(kept[k] & (place[k, 0] == ids[i + text]) & (place[k, 1] == where - words.first[text]))
-            else:
-                gone = np.zeros(len(h), bool)
-            edge = np.zeros(len(words.start) + window + 1, np.int32)
-            np.add.at(edge, where[gone], 1)
-            np.add.at(edge, where[gone] + window, -1)
+        for i, j in C.chunks(at):
+            words = C.Words(raw[at[i] : at[j]], at[i : j + 1], _IS_WORD)
+            a, b = np.searchsorted(gone_text, (i, j))
+            where = words.first[gone_text[a:b] - i] + gone_start[a:b]
+            edge = np.bincount(where, minlength=len(words.start) + window + 1) - np.bincount(where + window, minlength=len(words.start) + window + 1)
             covered = np.cumsum(edge)[: len(words.start)] > 0
-            n_gone = np.add.reduceat(np.append(covered, False).astype(np.int64), words.first[:-1]) if len(words.start) else np.zeros(len(words.first) - 1, np.int64)
             n_words = np.diff(words.first)
-            n_gone[n_words == 0] = 0
+            n_gone = np.diff(np.concatenate([[0], np.cumsum(covered)])[words.first])
             data = words.raw.tobytes()
-            base = at[i : i + len(n_words) + 1] - at[i]
-            for t in range(len(n_words)):
+            base = at[i : j + 1] - at[i]
+            for t in range(j - i):
                 if n_gone[t]:
-                    a, b = words.first[t], words.first[t + 1]
-                    left_over = np.flatnonzero(~covered[a:b]) + a
-                    text_out = b" ".join([data[x:y] for x, y in zip(words.start[left_over].tolist(), words.end[left_over].tolist())])
+                    x, y = words.first[t], words.first[t + 1]
+                    left_over = np.flatnonzero(~covered[x:y]) + x
+                    text_out = b" ".join([data[p:q] for p, q in zip(words.start[left_over].tolist(), words.end[left_over].tolist())])
                 else:
                     text_out = b" ".join(data[base[t] : base[t + 1]].split())
                 out["kept_text"].append(text_out)
@@ -167,11 +203,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         cols += [pa.array(out["kept_text"], pa.binary()).cast(pa.string()), pa.array(out["kept_sha256"], pa.string())]
         return pa.table(cols, names=list(out))
 
-    cells = C.repeated_cells(docs.mapInArrow(sketch, C.CELLS), buckets)
     by_src = docs.groupBy("src")
-    met = by_src.cogroup(cells.groupBy("src")).applyInArrow(emit, _MET)
-    back = met.repartitionById(buckets, F.col("bucket")).mapInArrow(first, _BACK)
-    return by_src.cogroup(back.groupBy("src")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    known = C.to_buckets(by_src.applyInArrow(sketch, _SKETCH), "at", parts).mapInArrow(merge, _KNOWN).repartitionById(sources, F.col("src").cast("int"))
+    met = by_src.cogroup(known.groupBy("src")).applyInArrow(emit, _MET)
+    back = C.to_buckets(met, "at", parts).mapInArrow(first, _BACK)
+    none = F.lit(None)
+    answers = known.select("at", "src", "cells", none.cast("int").alias("n"), none.cast("binary").alias("real"), none.cast("binary").alias("own"))
+    answers = answers.union(back.select("at", "src", none.cast("binary").alias("cells"), "n", "real", "own"))
+    return by_src.cogroup(answers.groupBy("src")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

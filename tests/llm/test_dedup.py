@@ -128,3 +128,57 @@ def test_substring_dedup_of_a_hot_passage(docs_of):
     rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(300)]
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs_of(rows)).collect()}
     assert got == {i: 25 * (i > 0) for i in range(300)}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_cancel_out_in_sums(docs_of):
+    """Words that every polynomial modulo a power of two takes for equal: windows behind them are different."""
+    word, tail = thue_morse(1024), " ".join(f"t{i}" for i in range(19))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"x {tail}"), (4, f"{other} {tail} end")]
+    # and sequences of words of that pattern
+    rows += [(10 + i, " ".join(x if c == "a" else y for c in thue_morse(64))) for i, (x, y) in enumerate((("one", "two"), ("two", "one")))]
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in remove_repeats(docs_of(rows)).collect()}
+    assert got == {i: x[1:] for (i, _), x in zip(rows, plain_removal(rows))}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [0, 0, 0, 20]
+
+
+@pytest.mark.parametrize("sizes", [{"wide": 1}, {"source_bytes": 3000}, {"source_bytes": 3000, "bucket_bytes": 100, "wide": 1}])
+def test_a_crowded_sketch_loses_none(docs_of, messy, sizes):
+    """Few counters, many sources, many buckets: the same rows."""
+    got = remove_repeats(docs_of(messy), **sizes).collect()
+    want = [(repr(i), x[1], x[2]) for (i, _), x in zip(messy, plain_removal(messy))]
+    assert sorted((repr(r["doc_id"]), r["n_removed"], r["kept_text"]) for r in got) == sorted(want)
+
+
+def test_one_hot_id(docs_of):
+    """A third of all rows have no doc_id: different texts, and the same."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"n{i} {passage} m{i}" if i % 2 else "again and again " * 10) for i in range(100)] + [(i, f"k{i} {passage}" if i % 3 else f"own{i} " * 5) for i in range(200)]
+    got = remove_repeats(docs_of(rows)).collect()
+    assert sorted((repr(r["doc_id"]), r["n_removed"], r["kept_text"]) for r in got) == sorted((repr(i), x[1], x[2]) for (i, _), x in zip(rows, plain_removal(rows)))
+
+
+@pytest.mark.parametrize("n,universe", [(0, 9), (1, 1), (7, 7), (300, 2**40), (50_000, 2**19), (5, 2**50)])
+def test_sorted_numbers(n, universe):
+    values = np.unique(np.random.default_rng(n).integers(0, universe, n, np.uint64))
+    packed = C.pack_sorted(values, universe)
+    assert (C.unpack_sorted(packed) == values).all()
+    assert n < 100 or len(packed) * 8 < len(values) * (3 + np.log2(universe / len(values))) + 100
+
+
+def test_word_and_window_hashes():
+    text = b"word  a-longer-word-of-many-letters word " + b"z" * 200 + b" " + b"z" * 201 + b" word"
+    words = C.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([c not in b" " for c in range(256)]))
+    for which in (0, 1):
+        h = words.hashes(which)
+        assert h[0] == h[2] == h[5] and len(set(h.tolist())) == 4
+        r = np.random.default_rng(which).integers(0, 2**63, 60, np.uint64)
+        for k in (1, 2, 3, 5, 7, 10, 20):
+            w = C.window_hashes(np.concatenate([r, r]), k, which)
+            assert len(w) == 121 - k and (w[: 61 - k] == w[60:]).all() and len(set(w[:60].tolist())) == 60
+    assert (words.hashes(0) != words.hashes(1)).all()
+    assert len(C.window_hashes(np.zeros(3, np.uint64), 4)) == 0
