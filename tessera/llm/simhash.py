@@ -56,8 +56,10 @@ def _variants(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return (fps[:, None] ^ masks).ravel()
 
 
+#: Fingerprints of a source, and those whose variants a bucket holds.
+SOURCE_FPS, BUCKET_FPS = 8192, 16384
 _EDGES = "a long, b long"
-_MET = "bucket int, variant binary, fp binary, node binary"
+_MET = "at int, own boolean, variant binary, fp binary, node binary"
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -72,9 +74,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark, half = nodes.sparkSession, radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
-    buckets = C.n_parts(spark)
-    sources = 3 * buckets
-    nodes = nodes.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(sources)).alias("src")).repartition(buckets, "src")
+    sources, buckets = C.fan_out(spark, nodes.count(), SOURCE_FPS, BUCKET_FPS)
+    nodes = nodes.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(sources)).alias("src")).repartitionById(sources, F.col("src").cast("int"))
 
     def emit(batches):
         masks, held = ball(half), {}
@@ -85,9 +86,9 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         yield from C.cell_rows(((s, C.mix(_variants(np.concatenate(x), masks))) for s, x in held.items()), buckets)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("variant", "fp", "node")}})
+        types = {"at": pa.int32(), "own": pa.bool_(), **dict.fromkeys(("variant", "fp", "node"), pa.binary())}
         if not right.num_rows or not left.num_rows:
-            return empty
+            return pa.table({k: pa.array([], t) for k, t in types.items()})
         masks = ball(half)
         fps, node = left["fp"].to_numpy().view(np.uint64), left["node"].to_numpy()
         cells = [[], [], []]
@@ -109,25 +110,18 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         own = _star(f, n, head, radius)
         v, f, n = v[new], f[new], n[new]
         b = C.bucket_of(C.mix(v), buckets)
-        rows = {"bucket": [], "variant": [], "fp": [], "node": []}
-        for k in np.unique(b):
-            at = b == k
-            for name, x in (("bucket", int(k)), ("variant", v[at].tobytes()), ("fp", f[at].tobytes()), ("node", n[at].tobytes())):
-                rows[name].append(x)
-        for name, x in (("bucket", -1), ("variant", own[0].tobytes()), ("fp", own[1].tobytes()), ("node", b"")):
-            rows[name].append(x)
-        return pa.table({k: pa.array(x, pa.int32() if k == "bucket" else pa.binary()) for k, x in rows.items()})
+        rows = [(int(k), False, *(x[b == k].tobytes() for x in (v, f, n))) for k in np.unique(b)]
+        # the source's own links need no partner: any bucket passes them on
+        rows.append((left["src"][0].as_py() % buckets, True, own[0].tobytes(), own[1].tobytes(), b""))
+        return pa.table({k: pa.array(x, t) for (k, t), x in zip(types.items(), zip(*rows))})
 
     def join(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, v, f, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if b < 0:
-                    yield pa.record_batch([pa.array(np.frombuffer(v, np.int64)), pa.array(np.frombuffer(f, np.int64))], names=["a", "b"])
-                else:
-                    held.setdefault(b, []).append((v, f, n))
-        for blobs in held.values():
-            v, f, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blobs), (np.uint64, np.uint64, np.int64)))
+        for _, rows in C.runs(batches):
+            for _, a, b, _ in filter(lambda r: r[0], rows):
+                yield pa.record_batch([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
+            v, f, n = (np.frombuffer(b"".join(r[i] for r in rows if not r[0]), t) for i, t in ((1, np.uint64), (2, np.uint64), (3, np.int64)))
+            if not len(v):
+                continue
             order = np.lexsort((n, v))
             v, f, n = v[order], f[order], n[order]
             new = np.ones(len(v), bool)
@@ -135,11 +129,10 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             a, b = _star(f, n, np.flatnonzero(new)[np.cumsum(new) - 1], radius)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    returned = C.repeated_cells(nodes.mapInArrow(emit, C.CELLS), buckets)
+    parts = C.n_parts(spark)
+    returned = C.repeated_cells(nodes.mapInArrow(emit, C.CELLS), parts).repartitionById(sources, F.col("src").cast("int"))
     met = nodes.groupBy("src").cogroup(returned.groupBy("src")).applyInArrow(meet, _MET)
-    # sources' own links need no exchange partner: any bucket takes them
-    dealt = met.withColumn("at", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("variant"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    return dealt.repartitionById(buckets, F.col("at")).drop("at").mapInArrow(join, _EDGES).distinct()
+    return C.to_buckets(met, "at", parts).mapInArrow(join, _EDGES).distinct()
 
 
 def _star(fp: np.ndarray, node: np.ndarray, head: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
