@@ -25,6 +25,8 @@ SPECIAL = "<|endoftext|>"
 LIMIT = 1024
 #: Texts are gathered to blocks of about so many bytes, of at most 65535 documents.
 BLOCK_BYTES = 12 << 20
+#: Texts whose pre-tokens a bucket holds.
+BUCKET_BYTES = 128 << 20
 
 
 @lru_cache(maxsize=4)
@@ -60,7 +62,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     default; repeated rows and null doc_ids stay as they are. The order of rows within input partitions must not
     change when a task runs again (a table that is read from files)."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    buckets = C.n_parts(docs.sparkSession)
+    spark = docs.sparkSession
+    _, buckets = C.fan_out(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BLOCK_BYTES, BUCKET_BYTES)
 
     def block_rows(block: int, ids: list, sizes: list, special: list, token_ids: list, index: dict):
         """The block's header and its pre-tokens by bucket."""
@@ -148,7 +151,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             sums[doc] += np.frombuffer(part["b"][i].as_py(), "<u4")
         return pa.table({"doc_id": head["doc_id"], "n_bytes": head["n_bytes"].cast(pa.int64()), "n_tokens": sums, "over_limit": sums > limit})
 
-    pieces = docs.select("doc_id", "text").mapInArrow(split, _ROWS).repartitionById(buckets, F.col("at")).mapInArrow(weigh, _ROWS)
+    pieces = docs.select("doc_id", "text").mapInArrow(split, _ROWS).repartitionById(C.n_parts(spark), F.pmod(F.col("at"), F.lit(C.n_parts(spark))).cast("int")).mapInArrow(weigh, _ROWS)
     return pieces.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
