@@ -176,12 +176,17 @@ LEAST_BUCKETS = 64
 
 def fan_out(spark: SparkSession, amount: int, per_source: int, per_bucket: int) -> tuple[int, int]:
     """(sources, buckets) of an exchange of so much (bytes, fingerprints): per_source and per_bucket at most, but more
-    sources, up to the session's partitions, where each still has a sixty-fourth of that. Buckets stay LEAST_BUCKETS
-    until they are full: the blobs then grow as the sources do, so as the input."""
-    sources = max(-(-amount // per_source), min(n_parts(spark), -(-64 * amount // per_source)), 1)
+    sources, up to three for each of the session's partitions, where each still has a sixty-fourth of that. Buckets
+    stay LEAST_BUCKETS until they are full: the blobs then grow as the sources do, so as the input."""
+    sources = max(-(-amount // per_source), min(3 * n_parts(spark), -(-64 * amount // per_source)), 1)
     return sources, max(LEAST_BUCKETS, -(-amount // per_bucket))
 
 
+def to_sources(rows: DataFrame, sources: int) -> DataFrame:
+    """rows dealt by column src, three sources to a partition."""
+    return rows.repartition(max(2, -(-sources // 3)), "src")
+
+
 def to_buckets(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """rows dealt by the bucket in column key (first of all columns), bucket after bucket: for runs()."""
     return rows.repartitionById(parts, F.pmod(F.col(key), F.lit(parts)).cast("int")).sortWithinPartitions(key)
@@ -235,9 +240,14 @@ def unpack_cells(blob: bytes) -> np.ndarray:
     return cells | np.repeat(np.arange(1 << k, dtype=np.uint32) << np.uint32(32 - k), counts) if k else cells
 
 
-def cells_by_bucket(h: np.ndarray, buckets: int):
-    """(bucket, sorted cells) of hashes; a cell that occurs more often is kept twice, as counts of two are enough."""
-    key = (bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+def cell_key(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A hash's bucket and cell as one number."""
+    return (bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def cells_by_bucket(key: np.ndarray, buckets: int):
+    """(bucket, sorted cells) of cell keys, which are sorted in place; a cell that occurs more often is kept twice, as
+    counts of two are enough."""
     key.sort()
     if len(key) > 2:
         keep = np.ones(len(key), bool)
@@ -258,11 +268,18 @@ def unplanes(blob: bytes) -> np.ndarray:
 
 
 def is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(sorted_set, values)
+    """Which values are in the set; both are hashes, so their low bits tell most of the others apart."""
+    out = np.zeros(len(values), bool)
+    if not len(sorted_set) or not len(values):
+        return out
+    low = np.uint64((1 << (16 * len(sorted_set)).bit_length()) - 1)
+    near = np.zeros(int(low) + 1, bool)
+    near[sorted_set & low] = True
+    maybe = np.flatnonzero(near[values & low])
+    at = np.searchsorted(sorted_set, values[maybe])
     at[at == len(sorted_set)] = 0
-    return sorted_set[at] == values
+    out[maybe] = sorted_set[at] == values[maybe]
+    return out
 
 
 CELLS = "bucket int, src long, blob binary"
@@ -270,9 +287,9 @@ _cells = pa.schema([("bucket", pa.int32()), ("src", pa.int64()), ("blob", pa.bin
 
 
 def cell_rows(per_source, buckets: int):
-    """Record batches of CELLS for (src, hashes) pairs."""
-    for src, h in per_source:
-        rows = [(b, pack_cells(c)) for b, c in cells_by_bucket(h, buckets)]
+    """Record batches of CELLS for (src, cell keys) pairs."""
+    for src, key in per_source:
+        rows = [(b, pack_cells(c)) for b, c in cells_by_bucket(key, buckets)]
         if rows:
             yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([src] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=_cells)
 

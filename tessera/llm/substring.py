@@ -49,10 +49,10 @@ def _bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 
 
-_SKETCH = "at int, src long, cells binary, many binary"
-_KNOWN = "at int, src long, cells binary"
-_MET = "at int, src long, h1 binary, h2 binary, id binary, start binary, many binary"
-_BACK = "at int, src long, n int, real binary, own binary"
+_SKETCH = "at int, src int, cells binary, many binary"
+_KNOWN = "at int, src int, cells binary"
+_MET = "at int, src int, h1 binary, h2 binary, id binary, start binary, many binary"
+_BACK = "at int, src int, n int, real binary, own binary"
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -83,11 +83,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, wide: int = WIDE, sour
     sources, buckets = C.fan_out(spark, size, source_bytes, bucket_bytes)
     buckets = 1 << (buckets - 1).bit_length()
     bits = max((wide * (size // WORD_BYTES + 1)).bit_length(), buckets.bit_length() + 3)
-    span = (1 << bits) // buckets
+    span, top = (1 << bits) // buckets, np.uint64(65 - buckets.bit_length())
     parts = C.n_parts(spark)
     # rows of one doc_id (or of none) go to many sources
-    src = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(sources))
-    docs = docs.select("doc_id", C.id_or_lowest().alias("_id"), "text", src.alias("src")).repartitionById(sources, F.col("src").cast("int"))
+    src = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(sources)).cast("int")
+    docs = C.to_sources(docs.select("doc_id", C.id_or_lowest().alias("_id"), "text", src.alias("src")), sources)
 
     def sketch(part: pa.Table) -> pa.Table:
         h, src, rows = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in _windows(part["text"], window, False))]), part["src"][0].as_py(), []
@@ -113,13 +113,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, wide: int = WIDE, sour
             yield from _table(_KNOWN, [(a, s, C.pack_sorted(c, span)) for a, s, c in known if len(c)]).to_batches()
 
     def estimated(part: pa.Table, known: pa.Table):
-        """The windows of a source that are estimated at two or more, by bucket, hashes and place: h, g, _id, start,
-        text and bucket."""
+        """The windows of a source (its rows by _id) that are estimated at two or more, by hashes and place: h, g, _id,
+        start and text. Buckets are ranges of h."""
         got = [[], [], [], []]
         cells: list[list] = [[np.zeros(0, np.uint64)] for _ in range(DEPTH)]
-        for at, c in zip(known["at"].to_pylist(), known["cells"].to_pylist()):
+        for at, c in sorted(zip(known["at"].to_pylist(), known["cells"].to_pylist())):
             cells[at // buckets].append(C.unpack_sorted(c) + np.uint64(at % buckets * span))
-        cells = [np.sort(np.concatenate(c)) for c in cells]
+        cells = [np.concatenate(c) for c in cells]
         for i, words, where, h, g in _windows(part["text"], window, True) if len(cells[0]) else ():
             hit = np.arange(len(h))
             for row in range(DEPTH):
@@ -128,18 +128,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, wide: int = WIDE, sour
             for held, x in zip(got, (h[hit], g[hit], where[hit] - words.first[text], i + text)):
                 held.append(x)
         h, g, s, t = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.uint64, np.int64, np.int64), got))
-        d, b = part["_id"].to_numpy()[t], C.bucket_of(h, buckets).astype(np.int64)
-        order = np.lexsort((s, d, g, h, b))
-        return tuple(x[order] for x in (h, g, d, s, t, b))
+        d = part["_id"].to_numpy()[t]
+        order = np.argsort(h, kind="stable")  # windows come by place
+        if ((h[order][1:] == h[order][:-1]) & (g[order][1:] != g[order][:-1])).any():
+            order = np.lexsort((s, d, g, h))
+        return tuple(x[order] for x in (h, g, d, s, t))
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            h, g, d, s, _, b = estimated(left, right)
+            h, g, d, s, _ = estimated(left.sort_by("_id"), right)
             new = np.flatnonzero(_firsts(h, g))
             many = np.diff(np.append(new, len(h))) > 1
-            h, g, d, s, b = (x[new] for x in (h, g, d, s, b))
-            edges, src = np.searchsorted(b, np.arange(buckets + 1)), left["src"][0].as_py()
+            h, g, d, s = (x[new] for x in (h, g, d, s))
+            edges, src = np.searchsorted(h >> top, np.arange(buckets + 1, dtype=np.uint64)), left["src"][0].as_py()
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 i, j = edges[k], edges[k + 1]
                 rows.append((k, src, h[i:j].tobytes(), g[i:j].tobytes(), C.planes(d[i:j]), C.planes(s[i:j]), _bits(many[i:j])))
@@ -167,8 +169,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, wide: int = WIDE, sour
         back = right.filter(pa.compute.is_valid(right["n"])).sort_by("at")
         known = right.filter(pa.compute.is_null(right["n"]))
         gone_text, gone_start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows:
+            left = left.sort_by("_id")
         if left.num_rows and back.num_rows:
-            h, g, d, s, t, _ = estimated(left, known)
+            h, g, d, s, t = estimated(left, known)
             new = _firsts(h, g)
             entry = np.cumsum(new) - 1
             real, own = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(back[c].to_pylist(), back["n"].to_pylist())]).astype(bool) for c in ("real", "own"))
@@ -204,7 +208,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, wide: int = WIDE, sour
         return pa.table(cols, names=list(out))
 
     by_src = docs.groupBy("src")
-    known = C.to_buckets(by_src.applyInArrow(sketch, _SKETCH), "at", parts).mapInArrow(merge, _KNOWN).repartitionById(sources, F.col("src").cast("int"))
+    known = C.to_sources(C.to_buckets(by_src.applyInArrow(sketch, _SKETCH), "at", parts).mapInArrow(merge, _KNOWN), sources)
     met = by_src.cogroup(known.groupBy("src")).applyInArrow(emit, _MET)
     back = C.to_buckets(met, "at", parts).mapInArrow(first, _BACK)
     none = F.lit(None)
