@@ -57,7 +57,7 @@ def _variants(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
 
 
 #: Fingerprints of a source, and those whose variants a bucket holds.
-SOURCE_FPS, BUCKET_FPS = 8192, 16384
+SOURCE_FPS, BUCKET_FPS = 4096, 16384
 _EDGES = "a long, b long"
 _MET = "at int, own boolean, variant binary, fp binary, node binary"
 
@@ -75,7 +75,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even")
     sources, buckets = C.fan_out(spark, nodes.count(), SOURCE_FPS, BUCKET_FPS)
-    nodes = nodes.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(sources)).alias("src")).repartitionById(sources, F.col("src").cast("int"))
+    nodes = C.to_sources(nodes.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(sources)).alias("src")), sources)
 
     def emit(batches):
         masks, held = ball(half), {}
@@ -83,7 +83,15 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             fp, src = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("src").to_numpy(zero_copy_only=False)
             for s in np.unique(src):
                 held.setdefault(int(s), []).append(fp[src == s])
-        yield from C.cell_rows(((s, C.mix(_variants(np.concatenate(x), masks))) for s, x in held.items()), buckets)
+
+        def keys(fps: np.ndarray) -> np.ndarray:
+            out = np.empty(len(fps) * len(masks), np.uint64)
+            for i in range(0, len(fps), 256):
+                v = C.mix(_variants(fps[i : i + 256], masks))
+                out[i * len(masks) : i * len(masks) + len(v)] = C.cell_key(v, buckets)
+            return out
+
+        yield from C.cell_rows(((s, keys(np.concatenate(held[s]))) for s in sorted(held)), buckets)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         types = {"at": pa.int32(), "own": pa.bool_(), **dict.fromkeys(("variant", "fp", "node"), pa.binary())}
@@ -96,7 +104,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         for i in range(0, len(fps), 256):
             v = _variants(fps[i : i + 256], masks)
             h = C.mix(v)
-            hit = np.flatnonzero(C.is_in((C.bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), keys))
+            hit = np.flatnonzero(C.is_in(C.cell_key(h, buckets), keys))
             who = i + hit // len(masks)
             for held, x in zip(cells, (v[hit], fps[who], node[who])):
                 held.append(x)
@@ -130,7 +138,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     parts = C.n_parts(spark)
-    returned = C.repeated_cells(nodes.mapInArrow(emit, C.CELLS), parts).repartitionById(sources, F.col("src").cast("int"))
+    returned = C.repeated_cells(nodes.mapInArrow(emit, C.CELLS), parts)
     met = nodes.groupBy("src").cogroup(returned.groupBy("src")).applyInArrow(meet, _MET)
     return C.to_buckets(met, "at", parts).mapInArrow(join, _EDGES).distinct()
 
