@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.rects import Rect
-from .operators.grid import collect_ids, grid_lines
+from .operators.grid import collect_ids, grid_lines, write_grid
 from .operators.index import INDEXES, IndexedTable, Names, build_index, make_index
 from .operators.scan import linear_scan, pair_lines, scan_lines, write_lines
 from .sources.nodes import PARSERS, PointParser, make_parser, read_nodes
@@ -49,7 +49,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         if a.verb == "scan":
             write_lines(scan_lines(linear_scan(points, area, a.sort)), a.output)
         else:
-            grid_lines(collect_ids(points, area, a.cells)).write.mode("overwrite").partitionBy("row", "col").text(a.output)
+            write_grid(grid_lines(collect_ids(points, area, a.cells)), a.output)
         return
     opclass, names = make_index(a.index), Names(a.root, a.parser, a.index, a.input)
     if a.verb == "build":

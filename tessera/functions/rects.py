@@ -17,6 +17,10 @@ class Rect:
     x1: float
     y1: float
 
+    def __post_init__(self):
+        for name in ("x0", "y0", "x1", "y1"):
+            object.__setattr__(self, name, float(getattr(self, name)))
+
     @classmethod
     def corners(cls, x1: float, y1: float, x2: float, y2: float) -> "Rect":
         """From two opposite corners, in any order."""
@@ -30,15 +34,27 @@ class Rect:
     def overlaps(self, o: "Rect") -> bool:
         return self.x0 <= o.x1 and o.x0 <= self.x1 and self.y0 <= o.y1 and o.y0 <= self.y1
 
-    def quadrant(self, digit: int) -> "Rect":
-        """Upper left, upper right, lower left, lower right: 0 to 3."""
-        mx, my = (self.x0 + self.x1) / 2, (self.y0 + self.y1) / 2
-        return Rect(mx if digit & 1 else self.x0, self.y0 if digit & 2 else my, self.x1 if digit & 1 else mx, my if digit & 2 else self.y1)
+    def covers(self, o: "Rect") -> bool:
+        return self.x0 <= o.x0 and o.x1 <= self.x1 and self.y0 <= o.y0 and o.y1 <= self.y1
 
 
 WORLD = Rect(-180.0, -90.0, 180.0, 90.0)
 
 
+def edge(lo: float, hi: float, n: int, i: int) -> float:
+    """Where the i-th of n equal steps from lo to hi begins; the last one ends at hi."""
+    return hi if i == n else lo + i * ((hi - lo) / n)
+
+
+def step_of(value: Column, lo: float, hi: float, n: int) -> Column:
+    """The last i below n with edge(i) <= value, 0 if there's none: division gives it but for rounding, the edges
+    themselves decide. One expression, however many steps there are."""
+    step = (hi - lo) / n
+    at = F.least(F.greatest(F.floor((value - lo) / step), F.lit(0)), F.lit(n - 1)).cast("long")
+    low = lambda i: F.lit(lo) + i.cast("double") * F.lit(step)
+    return F.when((value < low(at)) & (at > 0), at - 1).when((value >= low(at + 1)) & (at < n - 1), at + 1).otherwise(at)
+
+
 def point_in(x: Column, y: Column, r: Rect) -> Column:
     """Closed on all four edges. A null coordinate gives null, which filters drop: plain comparisons are pushed down."""
     return x.between(r.x0, r.x1) & y.between(r.y0, r.y1)
@@ -91,6 +107,11 @@ def pair_text(first: Column, second: Column) -> Column:
     return F.concat(F.lit("("), first.cast("string"), F.lit(", "), second.cast("string"), F.lit(")"))
 
 
+def rect_text(r: Column) -> Column:
+    """X: x Y: y H: h W: w"""
+    return F.concat_ws(" ", *(F.concat(F.lit(f"{k.upper()}: "), r[k].cast("string")) for k in "xyhw"))
+
+
 def rect_json(r: Column) -> Column:
     """[x,y,w,h]"""
     return F.concat(F.lit("["), F.concat_ws(",", *(r[k].cast("string") for k in "xywh")), F.lit("]"))
@@ -101,15 +122,22 @@ def rect_from_json(text: Column) -> Column:
     return F.struct(*(F.get(part, i).cast("double").alias(k) for i, k in enumerate("xywh")))
 
 
-def node_json(n: Column, predicate: Column) -> Column:
-    """{"n":children or path,"pred":predicate}"""
-    return F.to_json(F.struct(n.alias("n"), predicate.alias("pred")))
+def node_json(first: Column, predicate: Column) -> Column:
+    """{first,predicate}: of an index node the number of its children, of a reference its path; null without one."""
+    return F.concat(F.lit("{"), first.cast("string"), F.lit(","), F.coalesce(predicate, F.lit("null")), F.lit("}"))
 
 
 #: Serialized sizes in bytes.
 POINT_BYTES, RECT_BYTES, LONG_BYTES, CHAR_BYTES = 16, 32, 8, 2
+#: A node's own bytes besides its predicate: kind, size, place and number of children or records.
+NODE_BYTES = 17
 
 
 def string_bytes(s: Column) -> Column:
     """Two bytes of length and the characters."""
     return F.octet_length(s) + 2
+
+
+def pair_bytes(key: Column | int) -> Column:
+    """A key and its record's number."""
+    return (F.lit(key) if isinstance(key, int) else key) + LONG_BYTES

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 TERMINATOR = "-"
 SYMBOLS = TERMINATOR + "abcdefghijklmnopqrstuvwxyz"
-#: Follows 'z': every string that starts with p lies in [p, p + AFTER).
-AFTER = "{"
 
 
 def terminated(s: Column) -> Column:
@@ -45,12 +43,43 @@ def in_range(s: Column, lo: str, hi: str) -> Column:
     return s.between(min(lo, hi), max(lo, hi))
 
 
-def prefix_may_hold(prefix: str, lo: str, hi: str) -> bool:
-    """Whether a string below the path can lie in the range. Terminators stand for the end or for other characters,
-    so what comes before the first one decides."""
-    lo, hi = min(lo, hi), max(lo, hi)
-    known = prefix.split(TERMINATOR)[0]
-    return known <= hi and known + AFTER > lo
+def interval_may_hold(least: str, most: str, lo: str, hi: str) -> bool:
+    """Whether an interval of strings and a range, its ends in either order, have one in common."""
+    return least <= max(lo, hi) and min(lo, hi) <= most
+
+
+def interval_may_start(least: str, most: str, start: str) -> bool:
+    """Whether an interval of strings has one that starts with a text, whatever its alphabet."""
+    return least[: len(start)] <= start <= most
+
+
+def char_text(c: Column) -> Column:
+    return F.concat(F.lit("Ch: "), c)
+
+
+def char_code(c: Column) -> Column:
+    """A character's place in Unicode: their order, and their hash code."""
+    return F.ascii(c)
+
+
+def _int32(value: Column) -> Column:
+    """The low 32 bits of a long as a signed number."""
+    return F.shiftright(F.shiftleft(value, 32), 32)
+
+
+def string_hash(s: Column) -> Column:
+    """The characters' codes as digits of base 31, in 32 bits."""
+    return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda a, c: _int32(a * 31 + F.ascii(c)))
+
+
+def long_hash(value: Column) -> Column:
+    value = value.cast("long")
+    return _int32(value.bitwiseXOR(F.shiftrightunsigned(value, 32)))
+
+
+def pair_hash(first: Column, second: Column) -> Column:
+    """(first + second) * second + first, in 32 bits."""
+    return _int32(_int32(_int32(first + second) * second) + first)
 
 
 def file_number(file: Column) -> Column:

@@ -7,7 +7,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rects import Rect, point_in
+from ..functions.rects import Rect, point_in, step_of
 
 
 def grid_side(cells: int) -> int:
@@ -17,18 +17,9 @@ def grid_side(cells: int) -> int:
     return isqrt(cells)
 
 
-def _step(value: Column, lo: float, hi: float, g: int) -> Column:
-    """The first i with value < lo + (i + 1) * step, the last one for the rest: thresholds are compared as they are."""
-    step = (hi - lo) / g
-    out = F.lit(0)
-    for i in range(1, g):
-        out = out + F.when(value >= lo + i * step, 1).otherwise(0)
-    return out
-
-
 def cell_of(area: Rect, g: int) -> tuple[Column, Column]:
     """(row, column): rows by latitude (y), columns by longitude (x)."""
-    return _step(F.col("y"), area.y0, area.y1, g).alias("row"), _step(F.col("x"), area.x0, area.x1, g).alias("col")
+    return step_of(F.col("y"), area.y0, area.y1, g).cast("int").alias("row"), step_of(F.col("x"), area.x0, area.x1, g).cast("int").alias("col")
 
 
 def with_cell(points: DataFrame, area: Rect, cells: int) -> DataFrame:
@@ -51,9 +42,9 @@ def collect_ids(points: DataFrame, area: Rect, cells: int, group: str = "xy") ->
     return placed.groupBy("row", "col", "x", "y").agg(ids)
 
 
-def write_grid(collected: DataFrame, path: str) -> None:
-    """A folder for each row and column."""
-    collected.write.mode("overwrite").partitionBy("row", "col").parquet(path)
+def write_grid(lines: DataFrame, path: str) -> None:
+    """Text lines (row, col, value), in a folder for each row and column."""
+    lines.write.mode("overwrite").partitionBy("row", "col").text(path)
 
 
 def grid_lines(collected: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from .opclass import OpClass
 #: Partitions for each block of input, before rounding up.
 PER_BLOCK = 2.5
 DEFAULT_FRACTION = 1e-4
-#: The planner's counts are of cells of so many levels at most: fanout^levels rows reach the driver, never keys.
+#: So many counts of cells reach the driver at once, never keys.
 PLAN_CELLS = 70_000
 
 
@@ -36,29 +38,48 @@ def sample_keys(records: DataFrame, opclass: OpClass, fraction: float, seed: int
     return (keys if fraction >= 1 else keys.sample(False, fraction, seed)).distinct()
 
 
-def plan_depth(opclass: OpClass) -> int:
-    depth, cells = 1, len(opclass.symbols)
-    while cells * len(opclass.symbols) <= PLAN_CELLS and depth < opclass.params.resolution:
-        depth, cells = depth + 1, cells * len(opclass.symbols)
-    return depth
-
-
 def plan_partitions(keys: DataFrame, opclass: OpClass, n: int) -> list[tuple[str, int]]:
     """(path, sampled keys) of n parts that tile the space, in order; the place is the part's number.
 
     The space is divided once, then the part with the most sampled keys (the first of equals) until there are n; its
-    children take its place. Parts at the planner's depth aren't divided further. Without keys the first part is."""
-    depth = plan_depth(opclass)
-    cells = {r["p"]: r["n"] for r in keys.groupBy(opclass.path(depth).alias("p")).agg(F.count("*").alias("n")).collect()}
+    children take its place. Cells are counted as deep as PLAN_CELLS counts allow; when a part beyond is to be divided,
+    it and the others that may be are counted deeper, so parts follow the keys wherever they crowd. Parts at the
+    resolution aren't divided further. Without keys the first part is."""
+    deepest = opclass.params.resolution
     counts: dict[str, int] = {}
-    for cell, k in cells.items():
-        for level in range(1, depth + 1):
-            counts[cell[:level]] = counts.get(cell[:level], 0) + k
-    parts = list(opclass.symbols)
-    while len(parts) < n:
-        open_parts = [i for i, p in enumerate(parts) if len(p) < depth]
-        if not open_parts:
-            break
-        most = max(open_parts, key=lambda i: (counts.get(parts[i], 0), -i))
-        parts[most : most + 1] = [parts[most] + s for s in opclass.symbols]
-    return [(p, counts.get(p, 0)) for p in parts]
+    known: set[str] = set()  # paths whose children are counted
+
+    def count(open_parts: list[str]) -> None:
+        more = 1
+        while len(open_parts) * len(opclass.symbols) ** (more + 1) <= PLAN_CELLS and more < deepest:
+            more += 1
+        depth = {p: min(len(p) + more, deepest) for p in open_parts}
+        for size in sorted(set(map(len, open_parts))):
+            some = [p for p in open_parts if len(p) == size]
+            path = opclass.path(depth[some[0]])
+            held = keys.select(path.alias("p"))
+            if size:
+                held = held.where(F.substring("p", F.lit(1), F.lit(size)).isin(some))
+            for r in held.groupBy("p").agg(F.count("*").alias("n")).collect():
+                for level in range(size + (size > 0), len(r["p"]) + 1):
+                    counts[r["p"][:level]] = counts.get(r["p"][:level], 0) + r["n"]
+                    known.add(r["p"][: level - 1])
+
+    count([""])
+    # (fewer keys, path) of the parts that can be divided; in this order the first of equals comes first
+    heap = [(-counts.get(s, 0), s) for s in opclass.symbols]
+    heapify(heap)
+    done = []
+    while heap and len(heap) + len(done) < n:
+        fewer, most = heappop(heap)
+        if len(most) >= deepest:
+            done.append((fewer, most))
+            continue
+        if fewer and most not in known:
+            heappush(heap, (fewer, most))
+            unknown = sorted((k, p) for k, p in heap if k and p not in known and len(p) < deepest)
+            count([p for _, p in unknown[: PLAN_CELLS // len(opclass.symbols)]])
+            continue
+        for s in opclass.symbols:
+            heappush(heap, (-counts.get(most + s, 0), most + s))
+    return sorted((p, -fewer) for fewer, p in heap + done)

@@ -13,12 +13,13 @@ from ..operators import grid as G
 from ..operators import planning as P
 from ..operators import tree as TR
 from ..operators.index import IndexedTable, Names, build_index, with_part
+from ..operators.order import with_place
 from ..operators.quad import Quad
-from ..operators.scan import linear_scan, pair_lines, scan_lines
+from ..operators.scan import linear_scan, pair_lines, scan_lines, write_lines
 from ..operators.trie import Trie
 from ..sources import nodes as N
 from ..sources.shared import shared_dir
-from ..sources.views import POINTS_SQL, WORDS_SQL, points, words
+from ..sources.views import POINTS_SQL, STRINGS_SQL, WORDS_SQL, points, strings, words
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,8 +27,10 @@ ORACLE_SQL: dict[str, str] = {}
 #: The parameters of the registered queries.
 RECT = (-60.0, -30.0, 45.5, 40.25)
 SKINNY = (-170.0, 10.0, 170.0, 10.5)
-DEPTH, PARTS, AREA, CELLS = 12, 7, R.Rect(-120.0, -60.0, 150.0, 75.0), 100
-WORD_RANGE, PREFIX, TRIE_DEPTH, TRIE_BLOCK = ("mor", "pat"), "an", 8, 50
+DEPTH, PARTS, MORE_PARTS, AREA, CELLS = 40, 7, 28, R.Rect(-120.0, -60.0, 150.0, 75.0), 100
+WORD_RANGE, PREFIX, TRIE_DEPTH, TRIE_BLOCK = ("mor", "pat"), "an", 50, 125
+#: An index family other than the shipped presets, and ranges over strings of any alphabet.
+SMALL_WORLD, TEXT_RANGE, TEXT_PREFIX = R.Rect(-100.0, -50.0, 130.0, 70.0), ("B", "s~"), "Un"
 
 
 def query(sql: str | None):
@@ -76,6 +79,21 @@ def parse_two_nodes_a_line(spark, sf):
     return N.PointParser().parse(lines)
 
 
+@query(f"{_p} select id, x, y from points")
+def read_text_nodes(spark, sf):
+    """Lines written to a text folder, and scanned there."""
+    path = f"{shared_dir(spark)}/lines-{zlib.crc32(sf.encode()):08x}"
+    write_lines(N.point_lines(points(spark, sf)), path)
+    return N.read_nodes(spark, path, N.PointParser())
+
+
+@query(f"{_p} select id, x, y from points")
+def parse_one_a_line(spark, sf):
+    """A parser of one record a line: fields in a row."""
+    lines = points(spark, sf).select(F.concat_ws("\t", "id", "x", "y").alias("value"))
+    return N.make_parser("Fields").parse(lines)
+
+
 # ---- index-free scans --------------------------------------------------------------------------------------------
 
 
@@ -108,19 +126,45 @@ def trie_names(spark: SparkSession, sf: str) -> Names:
 _built: dict[tuple, IndexedTable] = {}
 
 
-def quad_index(spark: SparkSession, sf: str) -> IndexedTable:
-    """The index of the points, built once for a session and an input."""
-    key = (spark.sparkContext.applicationId, sf, "Quad")
+def _files(spark: SparkSession, sf: str, *tables: str) -> tuple:
+    """What tells that a table's files are still the same."""
+    each = [spark.read.parquet(f"{sf}/{t}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect() for t in tables]
+    return tuple(sorted(map(str, (r for rows in each for r in rows))))
+
+
+def _index(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], build) -> IndexedTable:
+    """An index built once for a session and the files of its input."""
+    key = (spark.sparkContext.applicationId, name, _files(spark, sf, *tables))
     if key not in _built:
-        _built[key] = build_index(points(spark, sf), Quad(resolution=DEPTH), quad_names(spark, sf), percent=1.0, parts=28)
+        _built[key] = build()
     return _built[key]
 
 
+def quad_index(spark: SparkSession, sf: str) -> IndexedTable:
+    """The index of the points, at the preset's full resolution."""
+    return _index(spark, sf, "Quad", ("orders",), lambda: build_index(points(spark, sf), Quad(), quad_names(spark, sf), percent=1.0, parts=28))
+
+
 def trie_index(spark: SparkSession, sf: str) -> IndexedTable:
-    key = (spark.sparkContext.applicationId, sf, "Trie")
-    if key not in _built:
-        _built[key] = build_index(words(spark, sf), Trie(resolution=TRIE_DEPTH, blocksize=TRIE_BLOCK), trie_names(spark, sf), percent=1.0, parts=53)
-    return _built[key]
+    return _index(spark, sf, "Trie", ("documents",), lambda: build_index(words(spark, sf), Trie(), trie_names(spark, sf), percent=1.0, parts=53))
+
+
+def _names(spark, sf, source: str, index: str = "Quad") -> Names:
+    return Names(f"{shared_dir(spark)}/indexes-{zlib.crc32(sf.encode()):08x}", "OSM", index, source)
+
+
+def parts_index(spark, sf, n: int) -> IndexedTable:
+    return _index(spark, sf, f"Quad in {n}", ("orders",), lambda: build_index(points(spark, sf), Quad(), _names(spark, sf, f"points-in-{n}"), percent=1.0, parts=n))
+
+
+def small_world_index(spark, sf) -> IndexedTable:
+    """Another world, blocksize, depth and shrinking; what lies outside goes to the overflow part."""
+    family = Quad(world=SMALL_WORLD, blocksize=30, resolution=20, path_shrink="TREE", node_shrink=False)
+    return _index(spark, sf, "small world", ("orders",), lambda: build_index(points(spark, sf), family, _names(spark, sf, "small-world"), percent=25, parts=10, outside="overflow"))
+
+
+def text_index(spark, sf) -> IndexedTable:
+    return _index(spark, sf, "strings", ("part", "documents", "nation"), lambda: build_index(strings(spark, sf), Trie(blocksize=40), _names(spark, sf, "strings", "Trie"), percent=50, parts=79))
 
 
 @query(f"{_p} select id, x, y from points where {_between(RECT)}")
@@ -159,6 +203,29 @@ def index_keeps_all(spark, sf):
     return quad_index(spark, sf).records().agg(F.count("*").alias("n"), F.sum("id").alias("ids"), *(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))))
 
 
+@query(f"{_p} select id, x, y from points where {_between(RECT)}")
+def range_custom_world(spark, sf):
+    return small_world_index(spark, sf).range(RECT[:2], RECT[2:])
+
+
+@query(f"{_p} select id, x, y from points")
+def range_beyond_the_world(spark, sf):
+    return small_world_index(spark, sf).range((-500, -500), (500, 500))
+
+
+def _cells_sql(depth: int) -> str:
+    """points with the path p of `depth` digits, halving bounds a level at a time."""
+    out = [f"l0 as (select id, x, y, -180e0 as x0, 180e0 as x1, -90e0 as y0, 90e0 as y1, '' as p from points)"]
+    for i in range(depth):
+        mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
+        out.append(
+            f"l{i + 1} as (select id, x, y, case when x < {mx} then x0 else {mx} end as x0, case when x < {mx} then {mx} else x1 end as x1, "
+            f"case when y < {my} then y0 else {my} end as y0, case when y < {my} then {my} else y1 end as y1, "
+            f"p || case when y < {my} then case when x < {mx} then '2' else '3' end else case when x < {mx} then '0' else '1' end end as p from l{i})"
+        )
+    return f"{_p}, " + ", ".join(out) + f", deep as (select p, count(*) as n from l{depth} group by p)"
+
+
 # ---- partitions --------------------------------------------------------------------------------------------------
 
 _quadrant = "case when y < 0 then case when x < 0 then 2 else 3 end else case when x < 0 then 0 else 1 end end"
@@ -199,11 +266,33 @@ def greedy_partitions_100pct(spark, sf):
     return _planned(spark, sf)
 
 
-@query(_greedy.replace("select cast(row_number()", "select part_id, prefix from (select cast(row_number()") + f") where x1 >= {RECT[0]}e0 and x0 <= {RECT[2]}e0 and y1 >= {RECT[1]}e0 and y0 <= {RECT[3]}e0")
+@query(f"""{_greedy[: _greedy.rindex('select cast(row_number()')]}, numbered as (select cast(row_number() over (order by o) - 1 as int) as part_id, * from counted),
+held as (select part_id, prefix, min(p.x) as a, max(p.x) as b, min(p.y) as c, max(p.y) as d from numbered join points p on x >= x0 and (x < x1 or x1 = 180 and x = 180) and y >= y0 and (y < y1 or y1 = 90 and y = 90) group by all)
+select part_id, prefix from held where b >= {RECT[0]}e0 and a <= {RECT[2]}e0 and d >= {RECT[1]}e0 and c <= {RECT[3]}e0""")
 def qualifying_partitions(spark, sf):
     """The parts that a rectangle query reads."""
-    r = R.Rect.corners(*RECT)
-    return _planned(spark, sf).where((F.col("x1") >= r.x0) & (F.col("x0") <= r.x1) & (F.col("y1") >= r.y0) & (F.col("y0") <= r.y1)).select("part_id", "prefix")
+    table = parts_index(spark, sf, PARTS)
+    return table.partitions.where(F.col("part_id").isin(table.qualifying(RECT[:2], RECT[2:]))).select("part_id", "prefix")
+
+
+@query(f"""with recursive {_cells_sql(DEPTH)[5:]}, prefixes as (select substr(p, 1, lv) as prefix, count(*) as n from deep, range(1, 16) r(lv) group by 1),
+counts as (select map_from_entries(list((prefix, n))) as m from prefixes),
+steps(k, parts) as (select 1, ['0', '1', '2', '3'] union all
+    select k + 1, list_sort(list_concat(list_filter(parts, lambda p: p <> best), [best || '0', best || '1', best || '2', best || '3'])) from
+    (select k, parts, list_sort(list_transform(parts, lambda p: (-coalesce(m[p], 0), p)))[1][2] as best from steps, counts where k < {(MORE_PARTS - 1) // 3}))
+select cast(i - 1 as int) as part_id, parts[i] as prefix, coalesce(m[parts[i]], 0) as n from (select parts, unnest(range(1, len(parts) + 1)) as i from steps where k = {(MORE_PARTS - 1) // 3}), counts""")
+def greedy_partitions_many(spark, sf):
+    return _planned(spark, sf, MORE_PARTS).select("part_id", "prefix", "n")
+
+
+@query("select true as known, true as once, true as about")
+def sample_tenth(spark, sf):
+    """A Bernoulli sample of 10 %: keys of the input, each once, about a tenth of them."""
+    keys = P.sample_keys(points(spark, sf), Quad(), P.fraction_of(10)).withColumn("s", F.lit(1))
+    every = points(spark, sf).select("x", "y").distinct().withColumn("p", F.lit(1))
+    n = F.count("s")
+    both = keys.join(every, ["x", "y"], "full")
+    return both.agg((n == F.count(F.when(F.col("p").isNotNull(), F.col("s")))).alias("known"), (n == F.count_distinct(F.when(F.col("s").isNotNull(), F.struct("x", "y")))).alias("once"), (F.abs(n - F.count("p") / 10) < 4 * F.sqrt(F.count("p") * 0.09)).alias("about"))
 
 
 @query(f"{_p} select distinct x, y from points")
@@ -220,19 +309,6 @@ def partition_numbers(spark, sf):
 # ---- trees -------------------------------------------------------------------------------------------------------
 
 
-def _cells_sql(depth: int) -> str:
-    """points with the path p of `depth` digits, halving bounds a level at a time."""
-    out = [f"l0 as (select id, x, y, -180e0 as x0, 180e0 as x1, -90e0 as y0, 90e0 as y1, '' as p from points)"]
-    for i in range(depth):
-        mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
-        out.append(
-            f"l{i + 1} as (select id, x, y, case when x < {mx} then x0 else {mx} end as x0, case when x < {mx} then {mx} else x1 end as x1, "
-            f"case when y < {my} then y0 else {my} end as y0, case when y < {my} then {my} else y1 end as y1, "
-            f"p || case when y < {my} then case when x < {mx} then '2' else '3' end else case when x < {mx} then '0' else '1' end end as p from l{i})"
-        )
-    return f"{_p}, " + ", ".join(out) + f", deep as (select p, count(*) as n from l{depth} group by p)"
-
-
 def _leaves_sql(depth: int, block: int) -> str:
     """After deep: nodes (prefix, level, n) and leaves (leaf, level, n)."""
     return f""", nodes as (select substr(p, 1, lv) as prefix, cast(lv as int) as level, cast(sum(n) as bigint) as n from deep, range(0, {depth + 1}) r(lv) group by 1, 2),
@@ -247,55 +323,81 @@ def _deep(spark, sf, depth=DEPTH):
     return TR.cells(points(spark, sf), Quad(), depth)
 
 
-@query(f"{_tree} select leaf, level, n from leaves")
+@query(f"{_tree} select leaf, level, n, n * 24 as bytes from leaves")
 def leaf_occupancy(spark, sf):
-    return TR.leaves(_deep(spark, sf), Quad(resolution=DEPTH))
+    return TR.leaves(_deep(spark, sf), Quad())
+
+
+@query(f"{_tree} select cast(substr(leaf, 1, 1) as int) as part_id, leaf, level, n, n * 24 as bytes from leaves")
+def index_leaves(spark, sf):
+    """The catalog of leaves of an index in four parts, the quadrants."""
+    return parts_index(spark, sf, 4).leaves
 
 
 @query(f"{_tree} select id, leaf from l{DEPTH} join leaves on starts_with(p, leaf)")
 def leaf_assign(spark, sf):
-    return TR.with_leaf(points(spark, sf), Quad(resolution=DEPTH)).select("id", "leaf")
+    return TR.with_leaf(points(spark, sf), Quad()).select("id", "leaf")
 
 
 @query(f"{_cells_sql(4)} select p as leaf, 4 as level, n from deep")
 def fixed_depth_cells(spark, sf):
-    return TR.leaves(_deep(spark, sf, 4), Quad(resolution=4, path_shrink="NEVER"))
+    return TR.leaves(_deep(spark, sf, 4), Quad(resolution=4, path_shrink="NEVER")).drop("bytes")
 
 
 _inner = f"""{_tree}, inner_nodes as (select prefix, level, n from nodes where exists (select 1 from leaves where length(leaf) > nodes.level and starts_with(leaf, prefix)))
-, kids as (select substr(prefix, 1, length(prefix) - 1) as up, count(*) as children from (select prefix from inner_nodes union all select leaf from leaves) where prefix <> '' group by 1)"""
+, kids as (select substr(prefix, 1, length(prefix) - 1) as up, count(*) as children from (select prefix from inner_nodes union all select leaf from leaves) where prefix <> '' group by 1)
+, tree as (select prefix, level, n, children from inner_nodes join kids on prefix = up union all select leaf, level, n, 0 from leaves)"""
 
 
-@query(f"{_inner} select prefix, level, n, children from inner_nodes join kids on prefix = up union all select leaf, level, n, 0 from leaves")
+@query(f"{_inner} select prefix, level, n, children from tree")
 def tree_nodes(spark, sf):
-    return TR.nodes(_deep(spark, sf), Quad(resolution=DEPTH))
+    return TR.nodes(_deep(spark, sf), Quad()).drop("bytes")
 
 
-@query(f"{_inner} select prefix, level, n, children from inner_nodes join kids on prefix = up where children > 1 or prefix = '' union all select leaf, level, n, 0 from leaves")
+@query(f"{_inner} select prefix, level, n, children from tree where children <> 1 or prefix = ''")
 def tree_shrink(spark, sf):
-    return TR.nodes(_deep(spark, sf), Quad(resolution=DEPTH, path_shrink="TREE"))
+    return TR.nodes(_deep(spark, sf), Quad(path_shrink="TREE")).drop("bytes")
 
 
 @query(f"""{_inner}, held as (select prefix, level, n, 4 as children from inner_nodes union all select leaf, level, n, 0 from leaves)
 select prefix, level, n, cast(children as bigint) as children from held union all
 select prefix || d, level + 1, 0, 0 from inner_nodes, range(4) r(d) where prefix || d not in (select prefix from held)""")
 def all_children_counts(spark, sf):
-    return TR.nodes(_deep(spark, sf), Quad(resolution=DEPTH, node_shrink=False))
+    return TR.nodes(_deep(spark, sf), Quad(node_shrink=False)).drop("bytes")
 
 
-@query(f"{_tree} select prefix, level, n, cast(sum(n) over (partition by level) as bigint) as at_level from nodes where level <= 5")
+@query(f"""{_inner}, below as (select u.prefix, count(*) as nodes from tree u join tree d on starts_with(d.prefix, u.prefix) group by 1)
+select prefix, level, n, n * 24 + nodes * {R.NODE_BYTES + R.RECT_BYTES} as size from tree join below using (prefix)""")
 def subtree_rollup(spark, sf):
-    counts = TR.prefix_counts(_deep(spark, sf), DEPTH).where("level <= 5")
-    total = counts.groupBy(F.col("level").alias("_l")).agg(F.sum("n").alias("at_level"))
-    return counts.join(total, F.col("level") == F.col("_l")).select("prefix", "level", "n", "at_level")
+    return TR.subtree_bytes(TR.nodes(_deep(spark, sf), Quad()), Quad())
 
 
-@query(f"{_tree} select row_number() over (order by prefix) as place, prefix from nodes where level <= 3")
+@query(f"{_inner} select row_number() over (order by prefix) as place, prefix from tree")
 def catalog_preorder(spark, sf):
-    """At most 85 nodes, numbered as a preorder walk meets them."""
-    from pyspark.sql import Window
+    """All nodes, numbered as a preorder walk meets them."""
+    return TR.preorder(TR.nodes(_deep(spark, sf), Quad()))
 
-    return TR.prefix_counts(_deep(spark, sf), DEPTH).where("level <= 3").select(F.row_number().over(Window.orderBy("prefix")).cast("long").alias("place"), "prefix")
+
+@query(f"{_inner} select row_number() over (order by least(children, 1), case when children > 0 then children else n end, prefix) as place, prefix, case when children > 0 then children else n end as size from tree")
+def node_order(spark, sf):
+    """Leaves by their records, then index nodes by their children."""
+    size = F.when(F.col("children") > 0, F.col("children")).otherwise(F.col("n"))
+    each = TR.nodes(_deep(spark, sf), Quad()).select(F.least("children", F.lit(1)).alias("kind"), size.alias("size"), "prefix")
+    return with_place(each, "kind", "size", "prefix").select((F.col("place") + 1).alias("place"), "prefix", "size")
+
+
+_bounds = " union all ".join(f"select distinct p as prefix, x0, x1, y0, y1 from l{i}" for i in range(DEPTH + 1))
+
+
+@query(f"""{_inner}, bounds as ({_bounds})
+select prefix, '{{' || children || ',[' || x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) || ']}}' as node,
+'{{part-r-' || lpad(cast(level as varchar), 5, '0') || ',[' || x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) || ']}}' as reference from tree join bounds using (prefix)""")
+def node_forms(spark, sf):
+    """Nodes, and references to files, with the rectangles of their cells."""
+    q = Quad()
+    rect = R.rect_json(q.cell_of(F.col("prefix")))
+    file = F.concat(F.lit("part-r-"), F.lpad(F.col("level").cast("string"), 5, "0"))
+    return TR.nodes(_deep(spark, sf), q).select("prefix", R.node_json(F.col("children"), rect).alias("node"), R.node_json(file, rect).alias("reference"))
 
 
 # ---- grid --------------------------------------------------------------------------------------------------------
@@ -327,7 +429,18 @@ def grid_collect_by_longitude(spark, sf):
     return G.collect_ids(points(spark, sf), AREA, CELLS, group="x")
 
 
-@query(f"{_placed}, c as (select \"row\", col, x, y, string_agg(cast(id as varchar), ', ' order by id) as ids from placed group by all) select \"row\", col, 'Lon: ' || x || ' Lat: ' || y || chr(9) || ids || ', ' as value from c")
+_grid_text = f"{_placed}, c as (select \"row\", col, x, y, string_agg(cast(id as varchar), ', ' order by id) as ids from placed group by all) select \"row\", col, 'Lon: ' || x || ' Lat: ' || y || chr(9) || ids || ', ' as value from c"
+
+
+@query(_grid_text)
+def grid_written(spark, sf):
+    """The grid's files, a folder for each row and column, read back."""
+    path = f"{shared_dir(spark)}/grid-{zlib.crc32(sf.encode()):08x}"
+    G.write_grid(grid_text(spark, sf), path)
+    return spark.read.text(path)
+
+
+@query(_grid_text)
 def grid_text(spark, sf):
     return G.grid_lines(G.collect_ids(points(spark, sf), AREA, CELLS))
 
@@ -340,6 +453,22 @@ def trie_range(spark, sf):
     return trie_index(spark, sf).range(*WORD_RANGE)
 
 
+@query(f"{STRINGS_SQL} select id, str from strings where str between '{TEXT_RANGE[0]}' and '{TEXT_RANGE[1]}'")
+def trie_range_any_text(spark, sf):
+    """Strings of any alphabet, with upper case, digits and signs."""
+    return text_index(spark, sf).range(*TEXT_RANGE)
+
+
+@query(f"{STRINGS_SQL} select id, str from strings where starts_with(str, '{TEXT_PREFIX}')")
+def trie_prefix_any_text(spark, sf):
+    return text_index(spark, sf).prefix(TEXT_PREFIX)
+
+
+@query(f"{STRINGS_SQL}, k as (select max(str) as m from strings) select id, str from strings, k where str = m")
+def trie_point_any_text(spark, sf):
+    return text_index(spark, sf).point(strings(spark, sf).agg(F.max("str")).first()[0])
+
+
 @query(f"{_w} select id, str from words where str = 'the'")
 def trie_point(spark, sf):
     return trie_index(spark, sf).point("the")
@@ -355,17 +484,17 @@ def trie_result_text(spark, sf):
     return pair_lines(trie_range(spark, sf))
 
 
-_deep_words = f"{_w}, deep as (select rpad(str, {TRIE_DEPTH}, '-') as p, count(*) as n from words group by 1)"
+_deep_words = f"{_w}, deep as (select rpad(str, {TRIE_DEPTH}, '-') as p, count(*) as n, sum(strlen(str) + 10) as bytes from words group by 1)"
 
 
 @query(f"{_deep_words} select substr(p, 1, 3) as prefix, 3 as level, cast(sum(n) as bigint) as n from deep group by 1")
 def trie_prefix_counts(spark, sf):
-    return TR.prefix_counts(TR.cells(words(spark, sf), Trie(), TRIE_DEPTH), 3, 3)
+    return TR.prefix_counts(TR.cells(words(spark, sf), Trie(), TRIE_DEPTH), 3)
 
 
-@query(f"{_deep_words}{_leaves_sql(TRIE_DEPTH, TRIE_BLOCK)} select leaf, level, n from leaves")
+@query(f"{_deep_words}{_leaves_sql(TRIE_DEPTH, TRIE_BLOCK)} select leaf, level, leaves.n, cast(sum(bytes) as bigint) as bytes from leaves join deep on starts_with(p, leaf) group by all")
 def trie_leaves(spark, sf):
-    return TR.leaves(TR.cells(words(spark, sf), Trie(), TRIE_DEPTH), Trie(resolution=TRIE_DEPTH, blocksize=TRIE_BLOCK))
+    return TR.leaves(TR.cells(words(spark, sf), Trie(), TRIE_DEPTH), Trie())
 
 
 @query(f"""{_w} select c as predicate, cast(count(str) as bigint) as n from (select substr('{S.SYMBOLS}', cast(i as int), 1) as c from range(1, 28) r(i))
@@ -418,19 +547,51 @@ def rect_predicates(spark, sf):
     return _rects(spark, sf).select("id", R.contains(r, small).alias("holds"), R.contains(big, r).alias("inside"), R.overlaps(r, big).alias("touches"), R.contains_point(r, F.lit(0.0), F.lit(0.0)).alias("origin"))
 
 
-@query(f"{_rects_sql}, k as (select id, w * h as area, x, y from rects) select row_number() over (order by area, x, y, id) as place, id, area from k order by place limit 50")
+@query(f"{_rects_sql}, k as (select id, w * h as area, x, y from rects) select row_number() over (order by area, x, y, id) as place, id, area from k")
 def rect_order(spark, sf):
-    """A top-50 report: the least rectangles by area, x and y."""
-    from pyspark.sql import Window
+    """All rectangles by area, x and y."""
+    keys = _rects(spark, sf).select("id", *(k.alias(n) for k, n in zip(R.order_keys(F.col("r")), ("area", "x", "y"))))
+    return with_place(keys, "area", "x", "y", "id").select((F.col("place") + 1).alias("place"), "id", "area")
+
+
+@query(f"""{_rects_sql} select id, '[' || x || ',' || y || ',' || w || ',' || h || ']' as json, w as back_w, x0, x1 - x0 as normal_w,
+'X: ' || x || ' Y: ' || y || ' H: ' || h || ' W: ' || w as text from ends""")
+def rect_forms(spark, sf):
+    r = F.col("r")
+    out = _rects(spark, sf).select("id", "r", R.rect_json(r).alias("json"))
+    return out.select("id", "json", R.rect_from_json(F.col("json"))["w"].alias("back_w"), R.normalised(r)["x"].alias("x0"), R.normalised(r)["w"].alias("normal_w"), R.rect_text(r).alias("text"))
+
+
+@query(f"{_w} select row_number() over (order by str, cast(id as varchar)) as place, '(' || str || ', ' || id || ')' as pair from words")
+def pair_order(spark, sf):
+    """Pairs by the text of the first, then by that of the second."""
+    each = words(spark, sf).select("str", F.col("id").cast("string").alias("second"))
+    return with_place(each, "str", "second").select((F.col("place") + 1).alias("place"), R.pair_text(F.col("str"), F.col("second")).alias("pair"))
+
+
+@query("""with c as (select substr(p_name, 1, 1) as c, count(*) as n from part group by 1 union all select substr(n_name, 2, 1), count(*) from nation group by 1)
+select row_number() over (order by unicode(c), n) as place, c, 'Ch: ' || c as text, unicode(c) as code from c""")
+def char_order(spark, sf):
+    first = lambda t, name, at: spark.read.parquet(f"{sf}/{t}.parquet").groupBy(F.substring(name, at, 1).alias("c")).agg(F.count("*").alias("n"))
+    chars = first("part", "p_name", 1).union(first("nation", "n_name", 2)).withColumn("code", S.char_code(F.col("c")))
+    return with_place(chars, "code", "n").select((F.col("place") + 1).alias("place"), "c", S.char_text(F.col("c")).alias("text"), "code")
+
+
+def _wrap(sql: str) -> str:
+    """A number as 32 signed bits."""
+    return f"((({sql}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
+
 
-    top = _rects(spark, sf).select("id", *(k.alias(n) for k, n in zip(R.order_keys(F.col("r")), ("area", "x", "y")))).orderBy("area", "x", "y", "id").limit(50)
-    return top.select(F.row_number().over(Window.orderBy("area", "x", "y", "id")).cast("long").alias("place"), "id", "area")
+@query(f"""{_w}, h as (select str, id, list_reduce(list_prepend(0::hugeint, list_transform(string_split(str, ''), lambda c: unicode(c)::hugeint)), lambda a, c: {_wrap("a * 31 + c")}) as first, {_wrap("xor(id, id >> 32)")} as second from words)
+select str, cast(first as bigint) as string_hash, cast(second as bigint) as long_hash, cast({_wrap("(first + second) * second + first")} as bigint) as pair_hash from h""")
+def hash_codes(spark, sf):
+    first, second = S.string_hash(F.col("str")), S.long_hash(F.col("id"))
+    return words(spark, sf).select("str", first.alias("string_hash"), second.alias("long_hash"), S.pair_hash(first, second).alias("pair_hash"))
 
 
-@query(f"{_rects_sql} select id, '[' || x || ',' || y || ',' || w || ',' || h || ']' as json, w as back_w, x0, x1 - x0 as normal_w from ends")
-def rect_json(spark, sf):
-    out = _rects(spark, sf).select("id", "r", R.rect_json(F.col("r")).alias("json"))
-    return out.select("id", "json", R.rect_from_json(F.col("json"))["w"].alias("back_w"), R.normalised(F.col("r"))["x"].alias("x0"), R.normalised(F.col("r"))["w"].alias("normal_w"))
+@query(f"{_w} select str, cast(strlen(str) + 10 as bigint) as pair, 24 as point_pair, 32 as rect, 2 as character from words")
+def byte_sizes(spark, sf):
+    return words(spark, sf).select("str", R.pair_bytes(R.string_bytes(F.col("str"))).cast("long").alias("pair"), R.pair_bytes(R.POINT_BYTES).alias("point_pair"), F.lit(R.RECT_BYTES).alias("rect"), F.lit(R.CHAR_BYTES).alias("character"))
 
 
 @query(f"{_p} select id, x between least(y, 0) and greatest(y, 0) and y between least(x, 10e0) and greatest(x, 10e0) as hit from points")

@@ -75,6 +75,21 @@ class StringParser(_Attributes):
         return self._records(lines).select(record_id(F.col("id")).alias("id"), F.lower("str").alias("str"))
 
 
+class FieldParser(Parser):
+    """One record a line: id, x and y, in that order, between separators. Other lines give no rows; an id that can't be
+    read is BAD_ID."""
+
+    keys = ("x", "y")
+
+    def __init__(self, separator: str = "\t"):
+        self.separator = separator
+
+    def parse(self, lines: DataFrame) -> DataFrame:
+        fields = F.split_part(F.col("value"), F.lit(self.separator), F.lit(1)), *(F.split_part(F.col("value"), F.lit(self.separator), F.lit(i)).try_cast("double") for i in (2, 3))
+        out = lines.select(record_id(fields[0]).alias("id"), fields[1].alias("x"), fields[2].alias("y"))
+        return out.where("x is not null and y is not null")
+
+
 PARSERS: dict[str, type[Parser]] = {}
 
 
@@ -84,6 +99,7 @@ def register_parser(name: str, parser: type[Parser]) -> None:
 
 register_parser("OSM", PointParser)
 register_parser("BasicTrie", StringParser)
+register_parser("Fields", FieldParser)
 
 
 def make_parser(name: str, **options) -> Parser:

@@ -21,6 +21,15 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("str").agg(F.count("*").alias("id"))
 
 
+def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and str: names as they are, and the beginnings of texts, in any script."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    names = read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("str")).union(read("nation").select(F.col("n_nationkey").cast("long"), F.upper("n_name")))
+    starts = read("documents").where("text is not null").select(F.col("doc_id").alias("id"), F.explode(F.array(*(F.substring("text", i, 9) for i in (1, 14, 40, 77)))).alias("str"))
+    return names.union(starts)
+
+
 #: The same in DuckDB.
+STRINGS_SQL = "with strings as (select p_partkey as id, p_name as str from part union all select n_nationkey, upper(n_name) from nation union all select doc_id, substr(text, i, 9) from documents, (values (1), (14), (40), (77)) v(i) where text is not null)"
 POINTS_SQL = "select o_orderkey as id, cast((o_custkey*7919)%36000 as double)/100.0e0-180.0e0 as x, cast((o_orderkey*104729)%18000 as double)/100.0e0-90.0e0 as y from orders"
 WORDS_SQL = "select w as str, count(*) as id from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by w"
