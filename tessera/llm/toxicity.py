@@ -6,6 +6,7 @@ import json
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from heapq import nsmallest
+from itertools import combinations
 from math import log
 from zlib import crc32
 
@@ -18,30 +19,38 @@ from . import common as C
 
 #: The classifier is fitted on at most so many labelled documents, by the hash of their doc_id.
 TRAIN_DOCS = 6000
-#: The kernel counts common subsequences of ORDER characters; every character that a subsequence spans weighs DECAY.
-#: As shares of the landmark's own: under NONE counts nothing, FULL or more counts 1, which leaves room for inserted
-#: characters. A word without MOST of a landmark's different letters isn't compared with it and counts 0.
-ORDER, DECAY, NONE, FULL, MOST = 4, 0.7, 0.35, 0.62, 0.7
-#: A word from toxic documents whose kernel with a landmark is COVERED (it counts whole) needs no landmark; so many
-#: words of clean documents that look most like the landmarks are added.
-COVERED, LOOKALIKES = 1.0, 8
-#: A landmark stands in so many toxic documents, and behind so many different words, at least.
-CONTEXTS = 3
+#: The kernel of two words: common subsequences of ORDER characters within REACH characters, each weighed by DECAY for
+#: every character that it spans in either word; as a cosine, to the POWER. All three steps keep it positive definite.
+#: What is below LEAST counts as 0.
+ORDER, REACH, DECAY, POWER, LEAST = 4, 7, 0.7, 2, 1e-3
+#: Landmarks are words of the labelled sentences: of those that stand out in toxic texts one for each neighbourhood
+#: (kernel of COVERED or more), the LOOKALIKES clean words that come nearest to them, and SAMPLED others by their hash.
+COVERED, LOOKALIKES, SAMPLED = 0.3, 16, 32
+#: A word that stands out is in so many toxic documents, and behind so many different words, at least, and its number of
+#: toxic documents times the logarithm of how much oftener they have it than clean ones is EVIDENCE or more.
+CONTEXTS, EVIDENCE = 3, 14.0
 #: Of near copies one teaches: those that share so many of SKETCH least shingle hashes with a text before.
 SKETCH, SHARED = 16, 6
-#: Rounds of choosing toxic texts' witness sentences and fitting.
-WITNESS_ROUNDS = 6
+#: A toxic text has so many witness sentences at most, with margins of the floor or more; rounds of choosing and fitting.
+WITNESSES = 3
+WITNESS_ROUNDS, FIRST_FLOOR, FLOOR = 6, 0.15, -0.9
 #: A sentence without an end has so many words at most; a word of more characters is looked at in overlapping parts.
 SENTENCE, PART = 32, 32
 #: Words whose weights a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 400_000
+#: So many of a text's highest sentences count, with margins up to these.
+HIGHEST, CLIP = 3, (3.0, 1.0, 1.0)
+#: What a toxic text counts when the curve is fitted, and one with changed words; a clean one counts 1.
+MISSED, CHANGED = 1.5, 0.3
 
 #: Characters written for others.
 _LOOKS = str.maketrans("013457@$!", "oieastasi")
 
 
-#: Stands before a word: words that begin alike have more in common.
-START, _START = "^", 53
+#: Stands before a word: words that begin alike have more in common. Codes of characters take _BITS bits.
+START, _START, _BITS = "^", 53, 6
+#: A word has so many letters at least; with START they make one subsequence.
+SHORTEST = ORDER - 1
 
 
 def unit(word: str) -> str:
@@ -59,29 +68,36 @@ def _encode(words: list[str], width: int) -> np.ndarray:
     return np.where((c >= 97) & (c <= 122), c - 96, np.where(c == ord(START), _START, np.where(c > 0, 27 + c % 26, 0))).astype(np.uint8)
 
 
-def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """For each row, the gap-weighted count of common subsequences of `order` characters: each weighs decay to the
-    power of the characters that it spans in s and in t. Dynamic programming over places, all rows at once."""
-    n, a, b = len(s), s.shape[1], t.shape[1]
-    if not n:
-        return np.zeros(0, np.float32)
-    decay = np.float32(decay)
-    s, t = np.ascontiguousarray(s.T), np.ascontiguousarray(t.T)  # places by rows: each step goes over whole lines
-    # prefix[k][j]: K'_k of s up to i and t up to j
-    prefix = [np.ones((b + 1, n), np.float32)] + [np.zeros((b + 1, n), np.float32) for _ in range(order - 1)]
-    total, run = np.zeros(n, np.float32), np.empty(n, np.float32)
-    for i in range(a):
-        same = ((t == s[i]) & (s[i] > 0)) * (decay * decay)
-        total += (same * prefix[order - 1][:b]).sum(0)
-        for k in range(order - 1, 0, -1):
-            step, now = same * prefix[k - 1][:b], prefix[k]
-            now *= decay
-            run[:] = 0
-            for j in range(b):
-                run *= decay
-                run += step[j]
-                now[j + 1] += run
-    return total
+def _patterns() -> list[tuple[int, ...]]:
+    """Where the characters of a subsequence stand after its first."""
+    return list(combinations(range(1, REACH), ORDER - 1))
+
+
+def _subsequences(codes: np.ndarray):
+    """For each pattern that fits: the codes of the subsequences that start at each place, and how many characters they
+    span. Those that go over a word's end end in 0."""
+    shifted = [codes.astype(np.int32) << (_BITS * (ORDER - 1 - i)) for i in range(ORDER)]
+    width = codes.shape[1]
+    for pattern in _patterns():
+        n = width - pattern[-1]
+        if n > 0:
+            yield sum((shifted[i + 1][:, o : o + n] for i, o in enumerate(pattern)), shifted[0][:, :n]), pattern[-1] + 1
+
+
+def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, subsequence, value): the weights of each row's occurrences of a subsequence, summed."""
+    # sorted within rows, with the pattern's span in the low bits
+    every = np.concatenate([np.zeros((len(codes), 0), np.int32), *((u << 4) + span for u, span in _subsequences(codes))], axis=1)
+    every.sort(axis=1)
+    row = np.repeat(np.arange(len(codes)), every.shape[1])
+    flat = every.ravel()
+    whole = (flat >> 4) & ((1 << _BITS) - 1) > 0
+    row, flat = row[whole], flat[whole]
+    if not len(flat):
+        return row, flat, np.zeros(0)
+    new = np.concatenate([[True], (flat[1:] >> 4 != flat[:-1] >> 4) | (row[1:] != row[:-1])])
+    at = np.flatnonzero(new)
+    return row[at], flat[at] >> 4, np.add.reduceat(DECAY ** (flat & 15).astype(np.float64), at)
 
 
 @dataclass
@@ -89,45 +105,57 @@ class Model:
     landmarks: list[str] = field(default_factory=list)
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))  # a word's weight: beta . kernel(word, landmarks)
     bias: float = -1.0
-    slope: float = 1.0  # score = sigmoid(slope * margin + offset)
+    slopes: tuple[float, ...] = (1.0,) + (0.0,) * HIGHEST  # score = sigmoid(slopes . traits of a text + offset)
     offset: float = 0.0
 
     def __post_init__(self):
-        self.codes = _encode([START + w for w in self.landmarks], 1 + max(map(len, self.landmarks), default=0))
-        self.own = subsequence_kernel(self.codes, self.codes) if self.landmarks else np.zeros(0, np.float32)
-        self.masks = _masks(self.codes)
+        """A table of the landmarks' subsequences, and for each the landmarks that have it and its share of them."""
+        codes = _encode([START + w for w in self.landmarks], 1 + max(map(len, self.landmarks), default=0))
+        mark, which, value = features(codes)
+        value /= np.sqrt(np.bincount(mark, weights=value**2, minlength=len(codes)))[mark] if len(mark) else 1
+        order = np.argsort(which, kind="stable")
+        known, first = np.unique(which[order], return_index=True)
+        self.table = np.zeros(1 << _BITS * ORDER if len(known) else 1, np.uint16 if len(known) < 65_535 else np.int32)
+        self.table[known] = np.arange(1, len(known) + 1)
+        self.first = np.append(first, len(order))
+        self.mark, self.value = mark[order], value[order]
 
     def kernel(self, units: list[str]) -> np.ndarray:
-        """Units by landmarks: the share of the landmark's kernel with itself, less for longer units, between NONE and
-        FULL taken as 0 to 1. Long units count as their best part."""
-        out = np.zeros((len(units), len(self.landmarks)), np.float32)
-        if not self.landmarks:
-            return out
+        """Units by landmarks. A unit of more than PART characters counts as its best part."""
+        wide = len(self.landmarks)
+        out = np.zeros((len(units), wide), np.float32)
         parts, of = [], []
         for i, u in enumerate(units):
-            if ORDER <= len(u) <= PART:
+            if SHORTEST <= len(u) <= PART:
                 parts.append(START + u)
                 of.append(i)
             elif len(u) > PART:
                 for j in range(0, len(u) - PART // 2, PART // 2):
                     parts.append((START if not j else "") + u[j : j + PART])
                     of.append(i)
-        of = np.array(of, np.int64)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        length = np.fromiter(map(len, self.landmarks), np.int64, len(self.landmarks)) + 1
-        need = np.ceil(np.bitwise_count(self.masks) * MOST).astype(np.int64)
+        if not parts or not wide:
+            return out
+        of, size = np.array(of), np.fromiter(map(len, parts), np.int64, len(parts))
         order = np.argsort(size, kind="stable")
-        for i in range(0, len(order), 4096):
-            at = order[i : i + 4096]
+        for i in range(0, len(order), 2048):
+            at = order[i : i + 2048]
             codes = _encode([parts[k] for k in at.tolist()], int(size[at].max()))
-            row, mark = np.nonzero(np.bitwise_count(_masks(codes)[:, None] & self.masks) >= need)
-            by = np.argsort(length[mark], kind="stable")
-            row, mark = row[by], mark[by]
-            for j in range(0, len(row), 4096):
-                r, m = row[j : j + 4096], mark[j : j + 4096]
-                share = subsequence_kernel(codes[r, : size[at[r]].max()], self.codes[m, : length[m].max()]) / self.own[m]
-                share *= np.minimum(1, length[m] / size[at[r]]) ** 0.25
-                np.maximum.at(out, (of[at[r]], m), np.clip((share - NONE) / (FULL - NONE), 0, 1))
+            got = []
+            for u, span in _subsequences(codes):
+                found = self.table[u]
+                hit = np.flatnonzero(found)
+                got.append((hit // found.shape[1], found.ravel()[hit].astype(np.int64) - 1, np.full(len(hit), DECAY**span)))
+            row, which, weight = (np.concatenate(x) for x in zip(*got))
+            many = self.first[which + 1] - self.first[which]
+            take = np.repeat(self.first[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(np.repeat(row, many) * wide + self.mark[take], weights=np.repeat(weight, many) * self.value[take], minlength=len(at) * wide).reshape(-1, wide)
+            # a word's own kernel is at least that of its occurrences one by one: who is below LEAST even so is done
+            near = np.flatnonzero((both.max(1) ** 2 / _one_by_one(size[at])) ** (POWER / 2) >= LEAST)
+            if not len(near):
+                continue
+            own_row, _, own = features(codes[near])
+            share = (both[near] / np.sqrt(np.bincount(own_row, weights=own**2, minlength=len(near)))[:, None]) ** POWER
+            np.maximum.at(out, of[at[near]], np.where(share >= LEAST, share, 0).astype(np.float32))
         return out
 
     def weights(self, units: list[str]) -> np.ndarray:
@@ -136,18 +164,22 @@ class Model:
             out[i : i + 8192] = self.kernel(units[i : i + 8192]) @ self.beta.astype(np.float32)
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+    def score(self, traits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(traits @ np.array(self.slopes) + self.offset, -30, 30)))
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    """The letters of each row, as bits."""
-    return np.bitwise_or.reduce(np.where((codes > 0) & (codes != _START), np.uint64(1) << codes.astype(np.uint64), np.uint64(0)), axis=1) if codes.size else np.zeros(len(codes), np.uint64)
+def _one_by_one(size: np.ndarray) -> np.ndarray:
+    """The summed squares of the weights of all occurrences in a word of so many characters, none taken for equal."""
+    out = np.zeros(len(size))
+    for p in _patterns():
+        out += np.maximum(0, size - p[-1]) * DECAY ** (2 * (p[-1] + 1))
+    return out
 
 
 class Scorer:
-    """Margins of whole texts. A sentence's margin is the bias and its words' weights; a text's that of its highest
-    sentence. Every distinct word is compared with the landmarks once."""
+    """Traits of whole texts. A sentence's margin is the bias and its words' weights; a text has those of its HIGHEST
+    highest sentences, for want of more that of an empty one, and the logarithm of the number of its sentences, as of
+    many one is high by chance. Every distinct word is compared with the landmarks once."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -167,9 +199,10 @@ class Scorer:
         self.ends[first : first + n] = [w[-1] in ".!?" for w in words]
         self.index.update(zip(words, range(first, first + n)))
 
-    def margins(self, texts: list[str]) -> np.ndarray:
+    def traits(self, texts: list[str]) -> np.ndarray:
         split = [t.lower().split() for t in texts]
-        out = np.full(len(texts), self.model.bias)
+        out = np.full((len(texts), HIGHEST + 1), self.model.bias)
+        out[:, HIGHEST] = 0
         words = [w for x in split for w in x]
         if not words:
             return out
@@ -201,9 +234,15 @@ class Scorer:
         size = np.diff(np.append(begin, len(at)))
         more = [np.arange(b, b + s, SENTENCE) for b, s in zip(begin[size > SENTENCE].tolist(), size[size > SENTENCE].tolist())]
         begin = np.sort(np.concatenate([begin[size <= SENTENCE], *more])).astype(np.int64)
-        total = np.add.reduceat(weight, begin)
-        # a text whose sentences are all below an empty one counts as that
-        np.maximum.at(out, text[begin], total + self.model.bias)
+        # a sentence below an empty one counts as that
+        total, of = self.model.bias + np.maximum(0, np.add.reduceat(weight, begin)), text[begin]
+        order = np.lexsort((-total, of))
+        of = of[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        high = rank < HIGHEST
+        out[of[high], rank[high]] = total[order][high]
+        out[:, HIGHEST] = np.log(np.maximum(1, np.bincount(of, minlength=len(texts))))
+        out[:, :HIGHEST] = np.minimum(out[:, :HIGHEST], CLIP)
         return out
 
 
@@ -221,12 +260,12 @@ def _sentences(text: str) -> list[list[str]]:
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Landmarks, Nyström features, a squared-hinge linear machine over sentences, and a logistic scale over texts.
+    """Landmarks, Nyström features, a squared-hinge linear machine over sentences, and a logistic curve over texts.
 
     Labels are for whole texts, so the sentences of a toxic text that hold nothing like a landmark are not taken as
-    toxic; a sentence of a clean text is clean. With no text of either label the score is 0 for all."""
+    toxic; a sentence of a clean text is clean. With no text of either label no text is predicted toxic."""
     if not (0 in labels and 1 in labels):
-        return Model(slope=30.0)
+        return Model()
     first = _first_of_copies(texts)
     texts, labels = [texts[i] for i in first], [labels[i] for i in first]
     toxic, clean = max(1, sum(y == 1 for y in labels)), max(1, sum(y == 0 for y in labels))
@@ -235,7 +274,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for text, y in zip(texts, labels):
         before, here = "", set()
         for u in map(unit, text.lower().split()):
-            if len(u) >= ORDER:
+            if len(u) >= SHORTEST:
                 here.add(u)
                 if y and len(contexts[u]) < CONTEXTS:
                     contexts[u].add(before)
@@ -245,7 +284,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for u, c in contexts.items():
         if min(held[1][u], len(c)) >= CONTEXTS:
             a, b = held[1][u] / toxic, (held[0][u] + 0.5) / clean
-            if a > 5 * b:
+            if a > 5 * b and held[1][u] * log(a / b) >= EVIDENCE:
                 rate[u] = held[1][u] * log(a / b)
     del contexts
     # a word that so many toxic and no clean texts hold by chance is rarer than one in the vocabulary
@@ -253,23 +292,29 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     sure = {u for u in rate if held[1][u] * chance + log(len(held[1]) + 1) < log(0.05) and 50 * held[0][u] <= held[1][u]}
     marks = _covering(sorted(sorted(rate), key=lambda u: -rate[u]))
     if not marks:
-        return Model(slope=30.0)
-    # clean words that look most like them
+        return Model()
+    # clean words that look most like them, and others as they come
     alike = Model(marks)
     pool = sorted(u for u in held[0] if u not in rate and len(u) <= PART)
     near = np.concatenate([np.zeros(0), *(alike.kernel(pool[i : i + 20_000]).max(1) for i in range(0, len(pool), 20_000))])
-    landmarks = marks + [pool[i] for i in np.argsort(-near, kind="stable")[:LOOKALIKES] if near[i] > 0] if pool else marks
+    more = [pool[i] for i in np.argsort(-near, kind="stable")[:LOOKALIKES] if near[i] >= LEAST]
+    more += nsmallest(SAMPLED, set(held[0]) | set(held[1]), key=lambda u: (crc32(u.encode()), u))
+    landmarks = marks + sorted(set(more) - set(marks))
     model = Model(landmarks)
     gram = model.kernel(landmarks).astype(np.float64)
-    gram = (gram + gram.T) / 2
-    value, vector = np.linalg.eigh(gram)
-    value = np.maximum(value, 1e-3)
-    root = vector / np.sqrt(value) @ vector.T  # K^(-1/2)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T  # K^(-1/2), with a floor for landmarks that are alike
     certain = np.array([u in sure for u in marks])
+    # toxic sentences once more, with a character put into their sure words: so the machine learns to bear that
+    altered = []
+    for text, y in zip(texts, labels):
+        for s in map(lambda s: list(map(unit, s)), _sentences(text) if y else []):
+            if not sure.isdisjoint(s):
+                altered.append([_with_insertion(u, len(altered)) if u in sure else u for u in s])
     # the words that are like some landmark, and the sentences with any; the others are the bias alone
     some: dict[str, int] = {}
     found = []  # of each such word how many landmarks it's like, which, and how much
-    every = sorted(set(held[0]) | set(held[1]))
+    every = sorted({*held[0], *held[1], *(u for s in altered for u in s)})
     for i in range(0, len(every), 8192):
         k = model.kernel(every[i : i + 8192])
         at = np.flatnonzero(k.any(1))
@@ -286,7 +331,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 rows.append(np.array(r, np.int32))
                 of.append(i)
     if not rows:
-        return Model(slope=30.0)
+        return Model()
+    own = len(rows)
+    rows += [np.array([some[u] for u in s if u in some], np.int32) for s in altered]
     n, wide = len(rows), len(landmarks)
     cells, sure_best = [], np.zeros(n, np.float32)
     for i in range(0, n, 4096):  # words' kernels summed sentence by sentence; what isn't 0 is kept
@@ -298,14 +345,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         total = np.bincount(here * wide + col, weights=value, minlength=len(part) * wide)
         cell = np.flatnonzero(total)
         cells.append(((i + cell // wide).astype(np.int32), (cell % wide).astype(np.int32), total[cell].astype(np.float32)))
-        sure = certain[np.minimum(col, len(marks) - 1)] & (col < len(marks))
-        np.maximum.at(sure_best, i + here[sure], value[sure])
+        known = certain[np.minimum(col, len(marks) - 1)] & (col < len(marks))
+        np.maximum.at(sure_best, i + here[known], value[known])
     row, col, value = (np.concatenate(x) for x in zip(*cells))
     begin = np.searchsorted(row, np.arange(n + 1))
     del rows, cells, many, which, much
     of, y = np.array(of), np.array(labels)
 
-    def features(some_rows: np.ndarray) -> np.ndarray:
+    def mapped(some_rows: np.ndarray) -> np.ndarray:
         """Nyström features of sentences, a one, and a last row for an empty sentence."""
         out = np.zeros((len(some_rows) + 1, wide + 1))
         for i in range(0, len(some_rows), 4096):
@@ -317,31 +364,44 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         out[:, wide] = 1
         return out
 
-    # a toxic text's witnesses are its most toxic sentence and those with a sure word; a clean text's sentences must
-    # all be clean
-    holds = sure_best >= 0.9
-    margin, bad = np.bincount(row, weights=value * (col < len(marks)), minlength=n), np.zeros(n, bool)
-    floor = 0.5
+    # a toxic text's witnesses are its highest sentences, as far as they reach the floor, and those with a sure word; a
+    # clean text's sentences must all be clean
+    holds = sure_best[:own] >= 0.9
+    margin, bad = np.bincount(row, weights=value * (col < len(marks)), minlength=n), np.zeros(own, bool)
+    floor = FIRST_FLOOR
     for _ in range(WITNESS_ROUNDS):
-        order = np.lexsort((-margin, of))
-        new = np.concatenate([[True], of[order][1:] != of[order][:-1]])
-        head = order[new]
-        good = np.union1d(head[(y[of[head]] == 1) & (margin[head] >= floor)], np.flatnonzero(holds & (y[of] == 1)))
-        rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        bad[order[(y[of[order]] == 0) & (rank < 3)]] = True
-        keep = np.concatenate([good, np.flatnonzero(bad)])
+        order = np.lexsort((-margin[:own], of))
+        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        high = order[(y[of[order]] == 1) & (rank < WITNESSES) & (margin[order] >= floor)]
+        good = np.union1d(high, np.flatnonzero(holds & (y[of] == 1)))
+        bad[order[(y[of[order]] == 0) & (rank < HIGHEST)]] = True
         if not len(good):
-            return Model(slope=30.0)
+            return Model()
+        good = np.concatenate([good, np.arange(own, n)])
+        keep = np.concatenate([good, np.flatnonzero(bad)])
         # texts without a sentence of their own here are empty sentences
         empty = int((y == 0).sum()) - len(np.unique(of[bad]))
-        w, b = _machine(features(keep), np.concatenate([np.ones(len(good)), -np.ones(bad.sum() + 1)]), np.concatenate([np.ones(len(keep)), [max(1, empty)]]))
-        margin, floor = np.bincount(row, weights=value * (root @ w)[col], minlength=n) + b, -0.9
+        w, b = _machine(mapped(keep), np.concatenate([np.ones(len(good)), -np.ones(bad.sum() + 1)]), np.concatenate([np.ones(len(keep)), [max(1, empty)]]))
+        margin, floor = np.bincount(row, weights=value * (root @ w)[col], minlength=n) + b, FLOOR
     model = Model(landmarks, root @ w, float(b))
-    margin = Scorer(model).margins(texts)
-    model.slope, model.offset = _logistic(margin, np.array(labels))
+    # toxic texts with all but one of their sentences with sure words left out, and that one changed, teach the curve too
+    changed = []
+    for i, (text, y) in enumerate(zip(texts, labels)):
+        has = [(s, not sure.isdisjoint(map(unit, s))) for s in (_sentences(text) if y else [])]
+        if one := next((s for s, x in has if x), None):
+            changed.append(" ".join([w for s, x in has if not x for w in s] + [_with_insertion(w, i) if unit(w) in sure else w for w in one]))
+    traits = Scorer(model).traits(texts + changed)
+    known, times = np.array(labels + [1] * len(changed)), np.array([MISSED if y else 1.0 for y in labels] + [CHANGED] * len(changed))
+    model.slopes, model.offset = _logistic(traits, known, times)
     return model
 
 
+def _with_insertion(word: str, seed: int) -> str:
+    h = crc32(f"{seed} {word}".encode())
+    at = 1 + h % max(1, len(word) - 1)
+    return word[:at] + chr(97 + (h >> 8) % 26) + word[at:]
+
+
 def _covering(words: list[str]) -> list[str]:
     """Those words that none chosen before covers: each of the words is covered by one of them, so their number follows
     the stems, and a stem of many variants keeps no other out."""
@@ -396,20 +456,29 @@ def _machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = 2.0,
     return w[:-1], w[-1]
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the labels, smoothed as Platt does; the slope stays positive."""
+def _logistic(traits: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 100) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset of a logistic curve through the labels, smoothed as Platt does. Higher margins never lower a
+    score: what would is left out, last ones first."""
     up, down = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    x = np.stack([np.clip(margin, -3, 3), np.ones(len(y))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (p - target) + 1e-4 * w)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+    use = list(range(traits.shape[1]))
+    while use[0] == 0:
+        x = np.column_stack([traits[:, use], np.ones(len(y))])
+        w = np.zeros(x.shape[1])
+        w[0] = 1
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            hess = (x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+            step = np.linalg.solve(hess, x.T @ (times * (p - target)) + 1e-2 * w)
+            w = w - np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not (against := [k for k, v in zip(use, w) if k < HIGHEST and v <= 0]):
+            slopes = np.zeros(traits.shape[1])
+            slopes[use] = w[:-1]
+            return tuple(slopes.tolist()), float(w[-1])
+        use.remove(max(against))
+    return Model().slopes, 0.0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
@@ -428,7 +497,7 @@ def _fit(batches):
         texts += batch.column("text").to_pylist()
         labels += batch.column("toxic").to_pylist()
     m = fit(texts, labels)
-    yield pa.record_batch([pa.array([json.dumps([m.landmarks, m.beta.tolist(), m.bias, m.slope, m.offset])])], names=["model"])
+    yield pa.record_batch([pa.array([json.dumps([m.landmarks, m.beta.tolist(), m.bias, m.slopes, m.offset])])], names=["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
@@ -447,7 +516,7 @@ _scorers: dict[bytes, Scorer] = {}
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) to (doc_id, score double, predicted int): whole texts, one pass, nothing shuffled."""
-    parts = (model.landmarks, model.beta, model.bias, model.slope, model.offset)
+    parts = (model.landmarks, model.beta, model.bias, model.slopes, model.offset)
     key = repr((parts[0], parts[1].tolist(), *parts[2:])).encode()
 
     def run(batches):
@@ -459,7 +528,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             _, at = C.utf8(batch.column("text"))
             texts, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
             for i, j in C.chunks(at, 4 << 20):
-                score = scorer.model.score(scorer.margins([t or "" for t in texts[i:j].to_pylist()]))
+                score = scorer.model.score(scorer.traits([t or "" for t in texts[i:j].to_pylist()]))
                 yield pa.record_batch([ids[i:j], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
