@@ -21,15 +21,21 @@ _BLOCK = frozenset(
 )
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: What isn't article by its element or role, or by a word of its class or id.
-_OUT_TAGS = frozenset("head nav footer aside form button select dialog menu search".split())
+#: What is never article, by its element or role. By a word of its class or id: what isn't unless it holds the article
+#: element, and what isn't unless it holds that or most of the page's own text. A form is of the last kind too.
+_OUT_TAGS = frozenset("head nav footer aside button label select dialog menu search".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_OUT_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banners?|sidebars?|side|rail|menus?|menubar|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|toolbar|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|respond|disqus|replies|reader|share|sharing|social|related|recommend\w*|"
-    r"pagination|pager|widgets?|skip|search)(?:$|[^a-z])"
+_WORD = r"(?:^|\s)(?!(?:has|no|with|without|hide|is)[^a-z\s])(?:\S*[^a-z\s])?(?:%s)(?:[^a-z]|$)"
+_NOT = re.compile(
+    _WORD
+    % (
+        r"ads?|advert\w*|adsense|adbox|sponsor\w*|banners?|menus?|menubar|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|popups?|modal|overlay|"
+        r"newsletter|subscribe|signup|login|comments?|commentlist|respond|disqus|replies|pagination|pager|skip"
+    )
 )
-_HEADS = re.compile(r"(?:^|[^a-z])(?:header|head)(?:$|[^a-z])")
+_HARDLY = re.compile(_WORD % r"promo\w*|sidebars?|side|rail|foot|notices?|alerts?|reader|share|sharing|social|related|recommend\w*|widgets?|search")
+_REPLY = re.compile(_WORD % "comments?|replies|respond|disqus")
+_HEADS = re.compile(_WORD % "header|head")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[^\s/>]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
@@ -63,43 +69,103 @@ def _tag_end(html: str, at: int) -> int:
     return first
 
 
-def _is_out(tag: str, attributes: str, in_article: bool, by_words: bool) -> bool:
+#: How much an element looks like what isn't article: not at all, unless it holds most of the text or the article,
+#: unless it holds the article, for certain.
+_FINE, _UNLIKELY, _DOUBTFUL, _OUT = range(4)
+
+
+def _looks(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _OUT_TAGS or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return _OUT
+    out = _UNLIKELY if tag == "form" else _FINE
+    if not attributes or tag in ("html", "body", "main"):
+        return out
     words = ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in _OUT_ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return _OUT
         if name in ("class", "id"):
             words += " " + value
-    return by_words and bool(words) and bool(_OUT_WORDS.search(words) or (not in_article and _HEADS.search(words)))
+    if not words:
+        return out
+    if tag == "article":
+        return _DOUBTFUL if _REPLY.search(words) else out
+    return _DOUBTFUL if _NOT.search(words) or not in_article and _HEADS.search(words) else _UNLIKELY if _HARDLY.search(words) else out
 
 
 class Page:
-    """The elements of a page, in document order, without what is never article: tag, parent, and per element the
+    """The elements of a page, in document order, without what isn't article: tag, parent, and per element the
     characters and tags in it, and those of links. pieces: (element, block, text)."""
 
     def __init__(self, html: str, by_words: bool = True):
-        self.tag, self.parent, self.pieces, self.body = ["#page"], [-1], [], 0
-        self._parse(html, by_words)
+        self.tag, self.parent, self.looks, self.pieces, self.body = ["#page"], [-1], [_FINE], [], 0
+        self._parse(html)
+        n = len(self.tag)
+        self.gone = [False] * n
+        self._count()
+        if by_words:
+            self._leave_out()
+
+    def _count(self) -> None:
+        """Sums over the subtrees of what isn't gone."""
         n = len(self.tag)
         self.chars, self.tags, self.link_chars, self.link_tags, self.size = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n
         for node, _, text in self.pieces:
-            self.chars[node] += len("".join(text.split()))
+            if not self.gone[node]:
+                self.chars[node] += len("".join(text.split()))
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
+            self.size[p] += self.size[i]
+            if self.gone[i]:
+                continue
             if self.tag[i] == "a":
                 self.link_chars[i], self.link_tags[i] = self.chars[i], self.tags[i] + 1
             self.chars[p] += self.chars[i]
             self.tags[p] += self.tags[i] + 1
             self.link_chars[p] += self.link_chars[i]
             self.link_tags[p] += self.link_tags[i]
-            self.size[p] += self.size[i]
 
-    def _parse(self, html: str, by_words: bool) -> None:
+    def _leave_out(self) -> None:
+        """Elements that look unlikely go, with all that is in them, unless they hold all articles or main; the least
+        unlikely ones of a page without either stay too if more than half of the text outside links is theirs."""
+        n = len(self.tag)
+        own = [c - x for c, x in zip(self.chars, self.link_chars)]
+        # an article or main counts unless it lies in another, as comments may
+        articles = [int(t in ("article", "main") and x == _FINE) for t, x in zip(self.tag, self.looks)]
+        within = list(map(bool, articles))
+        for i in range(1, n):
+            if within[self.parent[i]]:
+                within[i], articles[i] = True, 0
+        for i in range(n - 1, 0, -1):
+            articles[self.parent[i]] += articles[i]
+        holds = [0 < k == articles[0] for k in articles]
+        rest, i = own[0], 0
+        drop = []
+        while i < n:  # the doubtful ones first: their text doesn't count for the others
+            if self.looks[i] == _DOUBTFUL and not holds[i]:
+                drop.append(i)
+                rest -= own[i]
+                i += self.size[i]
+            else:
+                i += 1
+        for at in drop:
+            self.gone[at : at + self.size[at]] = [True] * self.size[at]
+        self._count()
+        own = [c - x for c, x in zip(self.chars, self.link_chars)]
+        drop, i = [], 0
+        while i < n:
+            if not self.gone[i] and self.looks[i] == _UNLIKELY and not holds[i] and (holds[0] or 2 * own[i] <= rest):
+                drop.append(i)
+                i += self.size[i]
+            else:
+                i += 1
+        for at in drop:
+            self.gone[at : at + self.size[at]] = [True] * self.size[at]
+        if drop:
+            self._count()
+
+    def _parse(self, html: str) -> None:
         stack = [0]  # open elements; those in what's left out are -1
         names = ["#page"]
         out_from = articles = block = pos = 0
@@ -179,7 +245,8 @@ class Page:
                             break
             if tag in _VOID or html.startswith("/", end - 1) and tag not in _BLOCK:
                 continue
-            if not out_from and _is_out(tag, html[name.end() : end], articles > 0, by_words):
+            looks = _OUT if out_from else _looks(tag, html[name.end() : end], articles > 0)
+            if not out_from and looks == _OUT:
                 out_from = len(stack)
             articles += tag in ("article", "main")
             if out_from:
@@ -187,6 +254,7 @@ class Page:
             else:
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
+                self.looks.append(looks)
                 stack.append(len(self.tag) - 1)
             names.append(tag)
 
@@ -195,7 +263,10 @@ class Page:
         by one that grows with the element's and the body's share of link text."""
         body_links = self.link_chars[self.body] / max(1, self.chars[self.body])
         out = []
-        for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags):
+        for c, t, lc, lt, gone in zip(self.chars, self.tags, self.link_chars, self.link_tags, self.gone):
+            if gone:
+                out.append(0.0)
+                continue
             t = max(1, t)
             share = c / max(1, lc) * t / max(1, lt)
             linked = c / max(1, c - lc) * lc + body_links * c
@@ -205,7 +276,8 @@ class Page:
     def main(self) -> list[int]:
         """The elements that are the article, in page order, none in another. The threshold is the density of the
         thinnest element on the way from the body to the one whose children's densities have the largest sum. That one
-        is kept, and walking from the body every other element that is at least so dense and doesn't hold it, whole. If an article or main holds the best one, that element alone is the article."""
+        is kept, and walking from the body every other element that is at least so dense and doesn't hold it, whole. If
+        an article or main holds the best one, that element alone is the article."""
         density, n = self.densities(), len(self.tag)
         total = [0.0] * n
         for i in range(n - 1, 0, -1):
@@ -229,7 +301,7 @@ class Page:
             holds.add(i)
         kept, i = [], first
         while i < last:  # past elements that hold the best one or are too thin, over those that are kept
-            if i not in holds and density[i] >= threshold:
+            if i not in holds and density[i] >= threshold and not self.gone[i]:
                 kept.append(i)
                 i += self.size[i]
             else:
@@ -240,7 +312,8 @@ class Page:
         kept = self.main()
         inside = [False] * len(self.tag)
         for node in kept:
-            inside[node : node + self.size[node]] = [True] * self.size[node]
+            for i in range(node, node + self.size[node]):
+                inside[i] = not self.gone[i]
         blocks: dict[int, list[str]] = {}
         for i, block, text in self.pieces:
             if inside[i]:
@@ -265,12 +338,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text and n_chars (code points).
 
     Each page is a task of its own on its executor; nothing is shuffled. Scripts, styles, menus, page headers, footers,
-    asides, forms and what class, id or role name as adverts, notices, sidebars or reader comments never count. Of the
+    asides and form controls never count; what class, id or role name as adverts, notices, sidebars or reader comments,
+    and forms, don't unless they hold the article or, but for adverts, comments and the like, most of the text. Of the
     rest the densest subtree is the article, or the article or main that holds it; without these, every other subtree
-    as dense as the thinnest element around the densest one too. All of it is returned: blocks in page order, white space inside a
-    block as one space, one space between blocks, character references decoded. Null and empty pages, and pages without
-    text, give an empty text; pages that break off are read as far as they go; repeated rows and null ids keep their
-    rows."""
+    as dense as the thinnest element around the densest one too. All of it is returned: blocks in page order, white space
+    inside a block as one space, one space between blocks, character references decoded. Null and empty pages, and pages
+    without text, give an empty text; pages that break off are read as far as they go; repeated rows and null ids keep
+    their rows."""
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

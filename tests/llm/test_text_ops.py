@@ -306,3 +306,117 @@ def test_short_and_unspaced_texts_stay_near_their_edit(docs_of):
     got = {x["doc_id"]: x for x in fingerprint_edits(docs_of(rows)).collect()}
     assert len(got) == len(rows) and all(got[i]["near_edited"] > 0 for i, _ in rows)
     assert all(got[i]["near_edited"] > got[i]["near_next"] for i in (5, 10, 15, 30, 50, 53))
+
+
+# ---- HTML, pages without article or main against a plain reading of the method --------------------------------------
+
+
+def random_page(r, depth=0):
+    """(tag, children): divs of paragraphs, links, lists and more divs."""
+    word = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(n))
+    kind = r.random()
+    if depth > 3 or kind < 0.45:
+        return ("p", [word(r.randrange(3, 60)), *([("a", [word(2)])] if r.random() < 0.3 else []), *([("b", [word(3)])] if r.random() < 0.3 else [])])
+    if kind < 0.6:
+        return ("ul", [("li", [("a", [word(2)])]) for _ in range(r.randrange(1, 6))])
+    return (r.choice(["div", "section"]), [random_page(r, depth + 1) for _ in range(r.randrange(1, 5))])
+
+
+def rendered(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(rendered, node[1]))}</{node[0]}>"
+
+
+def plain_text(node):
+    """Blocks of a subtree: what is between the borders of block elements."""
+    out = [""]
+
+    def walk(x):
+        if isinstance(x, str):
+            out[-1] += x
+        else:
+            out.append("") if x[0] not in ("a", "b") else None
+            for c in x[1]:
+                walk(c)
+            out.append("") if x[0] not in ("a", "b") else None
+
+    walk(node)
+    return [t.strip() for t in out if t.strip()]
+
+
+def plain_main(body):
+    from math import e, log
+
+    def sums(x):  # characters, tags, characters and tags of links
+        if isinstance(x, str):
+            return len(x.replace(" ", "")), 0, 0, 0
+        c = [sum(v) for v in zip(*(sums(k) for k in x[1]))] or [0, 0, 0, 0]
+        c[1] += sum(not isinstance(k, str) for k in x[1])
+        c[3] += sum(not isinstance(k, str) and k[0] == "a" for k in x[1])
+        return (c[0], c[1], c[0] if x[0] == "a" else c[2], c[1] if x[0] == "a" else c[3])
+
+    bc, _, blc, _ = sums(body)
+
+    def density(x):
+        c, t, lc, lt = sums(x)
+        if x[0] == "a":
+            lt = t + 1
+        t = max(1, t)
+        return c / t * log(max(1, c / max(1, lc) * t / max(1, lt))) / (1 + log(log(c / max(1, c - lc) * lc + blc / max(1, bc) * c + e)))
+
+    def elements(x, path=()):
+        yield x, path
+        for i, k in enumerate(x[1]):
+            if not isinstance(k, str):
+                yield from elements(k, (*path, i))
+
+    every = list(elements(body))
+    total = [sum(density(k) for k in x[1] if not isinstance(k, str)) for x, _ in every]
+    if not max(total):
+        return plain_text(body)
+    best = max(range(len(every)), key=lambda i: (total[i], -i))
+    way = every[best][1]
+    at = {p: x for x, p in every}
+    threshold = min(density(at[way[:i]]) for i in range(len(way) + 1))
+    kept, out = [], []
+    for x, p in every:
+        if any(p[: len(k)] == k for k in kept) or (way[: len(p)] == p and p != way):
+            continue
+        if p == way or density(x) >= threshold:
+            kept.append(p)
+            out += plain_text(x)
+    return out
+
+
+def test_density_like_its_definition():
+    r, chosen = random.Random(12), 0
+    for _ in range(300):
+        body = ("body", [random_page(r) for _ in range(r.randrange(1, 6))])
+        want = " ".join(plain_main(body))
+        assert main_text(f"<html>{rendered(body)}</html>") == want
+        chosen += 0 < len(want) < 0.9 * len(" ".join(plain_text(body)))
+    assert chosen > 10  # the choice isn't always all of the page
+
+
+def _p(n):
+    return "<p>" + " ".join(f"word{i}" for i in range(n)) + ".</p>"
+
+
+@pytest.mark.parametrize("outer", ['<div class="reader">', '<div class="share">', '<div class="side">', '<div class="related-work">', '<div class="content has-sidebar">', '<div id="layout" class="no-sidebar">', '<form id="page">', '<div class="widget">'])
+def test_names_that_are_not_the_whole_story(outer):
+    """An element that holds most of the text is the article, whatever its class says, or if it is a form."""
+    nav = '<nav><a href="/">Home</a></nav>'
+    page = f'<html><body>{nav}{outer}{_p(60)}{_p(50)}<div class="sidebar">{_p(8)}</div><label>Mail</label><button>Go</button></{outer[1:].split()[0]}><div class="comments">{_p(300)}</div></body></html>'
+    assert main_text(page) == " ".join(" ".join(f"word{i}" for i in range(n)) + "." for n in (60, 50))
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_that_are_articles(inside):
+    comments = f'<div id="comments"><ol>{"".join(f"<li><article class=comment-body>{_p(80)}</article></li>" for _ in range(4))}</ol><div><article>{_p(90)}</article></div></div>'
+    page = f"<body><article>{_p(30)}{comments if inside else ''}</article>{'' if inside else comments}</body>"
+    assert main_text(page) == " ".join(f"word{i}" for i in range(30)) + "."
+
+
+def test_siblings_and_lead():
+    lead, more = _p(50), _p(40) + _p(45)
+    got = main_text(f'<html><body><div>{lead}</div><div>{more}</div><div class="sidebar"><ul><li><a href="x">a link</a></ul></div></body></html>')
+    assert len(got.split()) == 135
