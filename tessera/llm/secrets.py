@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -33,13 +34,22 @@ BASE = (
 )
 #: What the method adds to the base.
 MORE = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # the whole key: header lines, lines of base64, and the last one with the end; without an end, as far as lines go
+    Rule(
+        "pem",
+        2,
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\r\n]+[A-Za-z0-9-]+: [^\r\n]*)*(?:[\x20\t\r\n]+[A-Za-z0-9+/]{20,}={0,2})*(?:(?:[\x20\t\r\n]+[A-Za-z0-9+/]{1,76}={0,2})?[\x20\t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?",
+        0,
+        1,
+    ),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
 RULES = BASE + MORE
 LEDGER = "blob binary, rules array<string>, spans array<struct<kind:string,start:long,end:long>>"
+#: The setting that names a ledger to keep; without it a run keeps one of its own.
+SETTING = "tessera.secrets.ledger"
 
 
 def _matches(text, rule: Rule):
@@ -52,7 +62,7 @@ def _matches(text, rule: Rule):
 
 
 def scan(blobs: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger's new rows for blobs (blob binary, text string; one row a blob): those (blob, rule version) pairs are
+    """A ledger's new rows for blobs (blob binary, text string; one row a blob): those (blob, rule version) pairs are
     scanned that the ledger doesn't have, and a row tells which they were and what they gave (maybe nothing)."""
     if ledger is not None:
         seen = ledger.select(F.col("blob").alias("_blob"), F.explode("rules").alias("rule")).groupBy("_blob").agg(F.collect_set("rule").alias("seen"))
@@ -87,28 +97,50 @@ def blob_of(text):
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, base=BASE) -> tuple[DataFrame, DataFrame]:
-    """(findings, new ledger rows) for docs (doc_id, text).
+def read_ledger(spark, path: str) -> DataFrame:
+    """The ledger kept at path, empty if there is none yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
 
-    Findings, one row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (the string), and found:
-    the spans as structs (code points, end exclusive). Every version of a text is addressed by its SHA-256; each
-    distinct text is scanned once for each rule version that the ledger lacks, and findings go to all rows that have
-    it, by the address: a text that a third of the rows share is scanned once. Append the new rows to the ledger and
-    pass it the next time; a changed rule gets a new version and is scanned alone.
+
+def ledger_path(spark) -> str:
+    """The ledger that the session names, or a new one in the shared folder."""
+    return spark.conf.get(SETTING, None) or f"{C.shared_dir(spark)}/secrets-{uuid.uuid4().hex}"
+
+
+def scan_new(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
+    """Brings the ledger at path up to docs (text) and returns it: every distinct text that it hasn't under some rule
+    version is scanned for those alone, and what that gave is appended. A run that fails has appended nothing."""
+    spark = docs.sparkSession
+    blobs = docs.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
+    scan(blobs, rules, read_ledger(spark, path)).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def spans_of(ledger: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, spans) of the blobs in which the asked rule versions found any: of kinds in the ledger under other
+    versions nothing counts, and what was scanned twice counts once."""
+    keys = F.array(*(F.lit(r.key) for r in rules))
+    kinds = F.filter(F.array(*(F.when(F.array_contains("rules", r.key), F.lit(r.kind)) for r in rules)), lambda k: k.isNotNull())
+    known = ledger.where((F.size("spans") > 0) & F.arrays_overlap("rules", keys)).select("blob", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])).alias("spans"))
+    known = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return known.where(F.size("spans") > 0)
+
+
+def find_secrets(docs: DataFrame, path: str | None = None, rules=RULES, base=BASE) -> DataFrame:
+    """Findings for docs (doc_id, text), through the ledger at path (by default that of ledger_path).
+
+    One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (the string), and found: the spans
+    as structs (code points, end exclusive). Every version of a text is addressed by its SHA-256; each distinct text is
+    scanned once for each rule version that the ledger lacks, what is found is written there and read again, and
+    findings go to all rows that have the text, by the address: a text that a third of the rows share is scanned once.
+    A second run with the same ledger scans nothing; a changed rule gets a new version and is scanned alone.
 
     Null texts count as empty; repeated rows, null doc_ids and rows that share a text keep their rows; no rows give
-    none. Spans are those of the rule versions asked for; kinds in the ledger under other versions don't count."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), blob_of(F.col("text")).alias("blob"))
-    new = scan(docs.select("blob", "text").dropDuplicates(["blob"]), rules, ledger)
-    if ledger is not None:
-        new = C.cut(new)
-        keys = F.array(*(F.lit(r.key) for r in rules))
-        kinds = [F.when(F.array_contains("rules", r.key), F.lit(r.kind)) for r in rules]
-        known = ledger.unionByName(new).where(F.arrays_overlap("rules", keys)).select("blob", F.filter("spans", lambda s: F.array_contains(F.filter(F.array(*kinds), lambda k: k.isNotNull()), s["kind"])).alias("spans"))
-        known = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    else:
-        known = new.select("blob", "spans")
-    known = known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+    none."""
+    known = spans_of(scan_new(docs, path or ledger_path(docs.sparkSession), rules), rules).select(F.col("blob").alias("_blob"), "spans")
+    docs = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     out = docs.select("doc_id", "blob").join(known, F.col("blob") == F.col("_blob"), "left")
     found = F.coalesce("spans", F.array().cast("array<struct<kind:string,start:long,end:long>>"))
     base_kinds = [r.kind for r in base]
@@ -120,11 +152,11 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES,
         _listed(F.col("found"), rules).alias("spans"),
         "found",
     )
-    return out, new
+    return out
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(C.table(spark, sf_dir, "documents"))[0].drop("found")
+    return find_secrets(C.table(spark, sf_dir, "documents")).drop("found")
 
 
 def _sql() -> str:
