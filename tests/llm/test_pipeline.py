@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline as P
+import pytest
 from pyspark.sql import functions as F
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 
@@ -78,3 +79,63 @@ def test_null_and_repeated_ids_go_by_their_own_text(spark, docs_of):
     bad = next(t for t in gone if t not in kept)
     mixed = toxic.union(spark.createDataFrame([(None, bad), (None, texts[0]), (None, texts[1])], "doc_id long, text string"))
     assert {x["text"] for x in P.drop_toxic(spark, mixed, SF).where("doc_id is null").collect()} == {texts[0], texts[1]}
+
+
+ONE_BY_ONE = [(n, f) for n, f in P.STAGES]
+
+
+@pytest.mark.parametrize("name,stage", ONE_BY_ONE)
+def test_stage_of_nothing(spark, docs_of, name, stage):
+    out = stage(spark, docs_of([]), SF)
+    assert out.count() == 0 and (name == "packing" or out.columns == docs_of([]).columns)
+
+
+@pytest.mark.parametrize("name,stage", ONE_BY_ONE)
+def test_stage_of_odd_rows(spark, docs_of, name, stage):
+    """Nulls, repeated ids with different texts, a text of a megabyte, clashing names: nothing crashes, and clean rows
+    that no other row is like stay."""
+    r = random.Random(13)
+    text = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    rows = [(None, text(30)), (None, text(30)), (7, text(30)), (7, text(30)), (8, None), (9, text(130_000)), (10, text(3)), (None, None), (11, "")]
+    out = stage(spark, docs_of(rows), SF)
+    got = [(x["doc_id"], x["text"]) for x in out.collect()] if name != "packing" else out.collect()
+    if name == "packing":
+        assert len({(x["doc_id"], x["doc_tokens"]) for x in got}) >= 7 and sum(x["length"] for x in got if x["start"] == 0) > 0
+    elif name == "near_duplicates":  # null and empty texts have no words in common with others, but with each other
+        assert sorted(map(repr, got)) == sorted(map(repr, [x for x in rows if x[1]] + [(8, None)]))
+    else:
+        assert sorted(map(repr, got)) == sorted(map(repr, rows))
+
+
+def test_toxic_documents_go(spark):
+    """All that the operator predicts toxic, and nothing else, whatever the ids."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = {x["doc_id"] for x in QUERIES["op2_toxicity"](spark, SF).where("predicted = 1").collect()}
+    kept = {x["doc_id"] for x in P.drop_toxic(spark, docs, SF).collect()}
+    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
+    bad = {texts[i] for i in toxic}
+    assert toxic and kept == {i for i, t in texts.items() if t not in bad}
+
+
+def test_packing_keeps_every_token(spark, docs_of, messy):
+    pieces = P.pack_tokens(spark, docs_of(messy), SF).collect()
+    by_doc = {}
+    for x in pieces:
+        by_doc.setdefault((x["doc_id"], x["doc_tokens"]), []).append((x["start"], x["length"]))
+    ids = [i for i, _ in messy]
+    for (i, n), parts in by_doc.items():
+        assert sum(k for _, k in parts) == n * max(1, ids.count(i) if i == 8 else 1)
+
+
+def test_a_crowd_of_near_copies(spark, docs_of):
+    """One base, hundreds of copies with a word changed: one stays, and unlike texts that share a passage do too."""
+    r = random.Random(21)
+    base = [f"b{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        c = list(base)
+        c[r.randrange(150)] = f"c{i}"
+        rows.append((i, " ".join(c)))
+    rows += [(1000 + i, " ".join(base[:30] + [f"u{r.randrange(10**6)}" for _ in range(120)])) for i in range(60)]
+    kept = {x["doc_id"] for x in P.drop_near_duplicates(spark, docs_of(rows), SF).collect()}
+    assert kept == {0} | set(range(1000, 1060))
