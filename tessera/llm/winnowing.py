@@ -16,6 +16,36 @@ _PLACE = (1 << 24) - 1
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _paired(x: Column, step: int, join) -> Column:
+    """join of each value and the one `step` places on; the last ones are joined with null."""
+    return F.zip_with(x, F.slice(x, step + 1, F.size(x)), join)
+
+
+def _over_runs(x: Column, k: int, join, body) -> Column:
+    """body of the array with join over each k consecutive values of x, from those of 1, 2, 4, ... values: a step is one
+    pass over the array, whatever k is."""
+
+    def go(run: Column, size: int, out: Column | None, done: int) -> Column:
+        if k & size:
+            out, done = (run, size) if out is None else (F.zip_with(out, F.slice(run, done + 1, F.size(run)), join), done + size)
+        if done == k:
+            return body(F.slice(out, 1, F.greatest(F.size(x) - k + 1, F.lit(0))))
+        return C.let(_paired(run, size, join), lambda r: go(r, 2 * size, out, done))
+
+    return go(x, 1, None, 0)
+
+
+def _minima(p: Column, w: int) -> Column:
+    """The least of each w consecutive values: two runs of a power of two cover them."""
+
+    def go(run: Column, size: int) -> Column:
+        if 2 * size <= w:
+            return C.let(_paired(run, size, lambda a, b: F.least(a, b)), lambda r: go(r, 2 * size))
+        return F.slice(run if size == w else _paired(run, w - size, lambda a, b: F.least(a, b)), 1, F.size(p) - w + 1)
+
+    return go(p, 1)
+
+
 def selected(text: Column, gram: int = GRAM, span: int = SPAN) -> Column:
     """The kept grams of a text as longs, in order: 40 bits of the gram's hash, then 2^24 - 1 - its position.
 
@@ -23,15 +53,12 @@ def selected(text: Column, gram: int = GRAM, span: int = SPAN) -> Column:
     gram is one gram; one of fewer grams than a window is one window; a text without words has none."""
     w = span - gram + 1
     place = lambda h, i: F.shiftleft(F.shiftright(h, 24), 24).bitwiseOR(F.lit(_PLACE) - F.pmod(i, F.lit(_PLACE + 1)).cast("long"))
-    grams = lambda x: F.when(
-        F.size(x) >= gram, F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - gram, F.lit(0))), lambda i: place(F.xxhash64(*(F.get(x, i + j) for j in range(gram))), i))
-    ).otherwise(F.array(place(F.xxhash64(F.concat_ws(" ", x)), F.lit(0))))
-    least = lambda p: F.when(
-        F.size(p) > w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - w + 1, F.lit(1))), lambda j: F.array_min(F.slice(p, j, w))))
-    ).otherwise(F.array(F.array_min(p)))
+    one = lambda x: F.array(place(F.xxhash64(F.concat_ws(" ", x)), F.lit(0)))
+    least = lambda p: F.when(F.size(p) > w, F.array_distinct(_minima(p, w))).otherwise(F.array(F.array_min(p)))
+    hashed = lambda x: C.let(F.transform(x, lambda v: F.xxhash64(v)), lambda h: _over_runs(h, gram, lambda a, b: F.xxhash64(a, b), lambda g: C.let(F.transform(g, place), least)))
     words = F.array_remove(F.split(text, _SPACE), "")
     none = F.array().cast("array<bigint>")
-    return C.let(words, lambda x: F.when(F.size(x) == 0, none).otherwise(C.let(grams(x), least)))
+    return C.let(words, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) < gram, one(x)).otherwise(hashed(x)))
 
 
 def printed(kept: Column) -> Column:
@@ -103,7 +130,8 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> Da
     heads = heads.select(*(F.col(c).alias(f"h_{c.strip('_')}") for c in ("doc_id", "_id", "text", "n", "kept")))
     after = heads.join(links.select(F.col("_id").alias("of"), F.col("need"), F.col("any_short"), F.col("next")), F.col("h_id") == F.col("next"))
     after = after.select("of", F.substring("h_text", F.lit(1), F.least("need", "h_n")).alias("head"), F.col("h_doc_id").alias("next_doc_id"), F.col("h_n").cast("long").alias("next_chars"), F.col("h_kept").alias("next_kept"), F.when(F.col("any_short"), F.col("h_text")).alias("next_text"))
-    both = full.join(after, F.col("_id") == F.col("of"))
+    # in as many parts as the texts: what follows costs more time than its bytes tell
+    both = full.join(after.repartition(parts, "of"), F.col("_id") == F.col("of"))
     half = half_of(F.col("n"))
     # of repeated rows the shorter need less than the longest
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("head", F.lit(1), half))

@@ -77,6 +77,34 @@ def test_edits(docs_of, messy):
     assert fingerprint_edits(docs_of([])).count() == 0
 
 
+def test_likeness_like_plain_sets(spark, docs_of, messy):
+    """near_edited and near_next from the kept grams, or for short texts from all runs of characters, as sets."""
+    rows = [(i, t or "") for i, t in messy if i is not None and (i, t) != (8, messy[8][1])]
+    rows = sorted(dict(rows).items()) + [(500, "中文 字符 " * 30), (501, "x y " * 30 + "z")]
+    after = [t for _, t in rows[1:] + rows[:1]]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), n in zip(rows, after)]
+    kept = {r["text"]: {v >> 24 for v in r["k"]} for r in docs_of([(1, t) for t in {*after, *edited}]).select("text", selected(F.col("text")).alias("k")).collect()}
+    split = re.compile(r"[\x20\x09-\x0D]+")
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    def runs(t, n):
+        return {t[i : i + n] for i in range(max(1, len(t) - n + 1))} if t else set()
+
+    want = {}
+    for (i, t), n, e in zip(rows, after, edited):
+        first = t[: len(t) - len(t) // 2]
+        if len([w for w in split.split(first, maxsplit=SPAN + 1) if w]) <= SPAN:
+            size = min(4, max(1, len(first)))
+            want[i] = like(runs(t, size), runs(e, size)), like(runs(t, size), runs(n, size))
+        else:
+            want[i] = like(kept[t], kept[e]), like(kept[t], kept[n])
+    got = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in fingerprint_edits(docs_of(rows)).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+    assert len({round(x, 3) for p in want.values() for x in p}) > 10
+
+
 # ---- decontamination ----------------------------------------------------------------------------------------------
 
 
