@@ -124,22 +124,22 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
                 key += j - i
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: documents (key, text); right: candidates (of, item_id, item)."""
-        item_words = {}
-        for i, t in zip(right["item_id"].to_pylist(), right["item"].to_pylist()):
-            if (i, t) not in item_words:
-                item_words[i, t] = _split(t)
+        """left: documents (key, text); right: (item_id, item) once, and candidates (of, item_id)."""
+        item_words: dict[int, list] = {}
         by_key: dict[int, set] = {}
         for k, i, t in zip(right["of"].to_pylist(), right["item_id"].to_pylist(), right["item"].to_pylist()):
-            by_key.setdefault(k, set()).add((i, t))
+            if k is None:
+                item_words.setdefault(i, []).append(_split(t))
+            else:
+                by_key.setdefault(k, set()).add(i)
         out = []
         for k, t in zip(left["key"].to_pylist(), left["text"].to_pylist()):
             windows: dict[int, dict[bytes, set]] = {}
             for it in by_key.get(k, ()):
-                w = item_words[it]
-                n = min(span, len(w))
-                for x in range(len(w) - n + 1):
-                    windows.setdefault(n, {}).setdefault(b" ".join(w[x : x + n]), set()).add(it[0])
+                for w in filter(None, item_words[it]):
+                    n = min(span, len(w))
+                    for x in range(len(w) - n + 1):
+                        windows.setdefault(n, {}).setdefault(b" ".join(w[x : x + n]), set()).add(it)
             words, found, ranges = _split(t), set(), []
             for n, which in windows.items():
                 for x in range(len(words) - n + 1):
@@ -161,7 +161,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     scanned = C.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "key long, doc_id long, n_words long, text string, prints array<struct<hash:long,n:int>>"))
     pairs = scanned.select("key", F.explode("prints").alias("p")).select("key", "p.*").join(prints, ["hash", "n"]).select("key", "item_id").distinct()
     src = F.pmod(F.xxhash64("key"), F.lit(8 * buckets)).alias("src")
-    candidates = pairs.join(items.withColumnRenamed("text", "item"), "item_id").select(F.col("key").alias("of"), "item_id", "item", src.alias("src2"))
+    pairs = pairs.select(F.col("key").alias("of"), "item_id", src.alias("src2"))
+    # an item's text goes once to each source that has a candidate of it
+    texts = pairs.select("src2", "item_id").distinct().join(items.withColumnRenamed("text", "item"), "item_id")
+    candidates = pairs.select("of", "item_id", F.lit(None).cast("string").alias("item"), "src2").union(texts.select(F.lit(None).cast("long"), "item_id", "item", "src2"))
     found = scanned.where("text is not null").select("key", "text", src).groupBy("src").cogroup(candidates.groupBy("src2")).applyInArrow(extend, "hit_key long, n_hit long, n_items long, items_sha256 string, hit_words array<struct<start:long,end:long>>")
     return scanned.select("key", "doc_id", "n_words").join(found, F.col("key") == F.col("hit_key"), "left").select(
         "doc_id",

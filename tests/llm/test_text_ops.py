@@ -18,7 +18,7 @@ from tessera.llm import secrets as SE
 from tessera.llm.decontamination import contamination
 from tessera.llm.html import extract_text, main_text
 from tessera.llm.packing import Encoder, pack
-from tessera.llm.sharding import shard
+from tessera.llm.sharding import grow, shard, shard_of
 from tessera.llm.tokens import count_tokens
 from tessera.llm.winnowing import GRAM, SPAN, fingerprint_edits, selected
 
@@ -290,6 +290,43 @@ def test_sharding(docs_of, messy):
     assert max(size.values()) < 1.2 * biggest
 
 
+def test_tree_is_a_k_d_tree(spark):
+    """Every node is cut along its widest dimension where its bytes divide as its shards do, as near as rows allow, and
+    every row lies in the shard that the cuts give."""
+    r = random.Random(17)
+    rows = [(int(r.lognormvariate(5, 1)), r.randrange(1000), r.randrange(5), r.randrange(2**62), i) for i in range(4000)]
+    meta = spark.createDataFrame([(a, a, b, c, h, i) for a, b, c, h, i in rows], "size long, n_chars long, n_lines long, n_marks long, text_hash long, _id long")
+    dims = ("n_chars", "n_lines", "n_marks")
+    tree = grow(meta, 24, dims)
+    records = [dict(zip(("n_chars", "n_lines", "n_marks", "text_hash", "_id"), x), size=x[0]) for x in rows]
+    whole = {d: max(x[d] for x in records) - min(x[d] for x in records) for d in dims}
+    total, shards = sum(x["size"] for x in records), {}
+
+    def walk(node, held):
+        if node.left is None:
+            assert node.shards == 1
+            shards.update((x["_id"], node.first) for x in held)
+            return
+        wide = sorted(dims, key=lambda d: -(max(x[d] for x in held) - min(x[d] for x in held)) / whole[d])
+        key = lambda x: (x[node.axis], x["text_hash"], x["_id"])[: len(node.cut)]
+        left = [x for x in held if key(x) < tuple(node.cut)]
+        right = [x for x in held if key(x) >= tuple(node.cut)]
+        target = sum(x["size"] for x in held) * node.left.shards / node.shards
+        off = abs(sum(x["size"] for x in left) - target)
+        assert node.left.shards == node.shards // 2 and node.right.shards == node.shards - node.left.shards
+        if node.axis == wide[0]:
+            assert off <= 0.0025 * total / 24 + max(x["size"] for x in held) / 2
+        else:  # no cut of a wider dimension is near enough
+            assert node.axis in (*wide, "text_hash")
+        walk(node.left, left)
+        walk(node.right, right)
+
+    walk(tree, records)
+    got = {x["_id"]: x["s"] for x in meta.select("_id", shard_of(tree).alias("s")).collect()}
+    assert got == shards and sorted(set(shards.values())) == list(range(24))
+    assert tree.axis in dims
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a")], [(i, "same") for i in range(100)], [(None, None)] * 5])
 def test_sharding_of_few_rows(docs_of, rows):
     got = shard(docs_of(rows)).collect()
