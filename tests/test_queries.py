@@ -32,16 +32,22 @@ def test_query(spark, duck, name):
     assert key(got) == key(want)
 
 
-def test_entry_without_the_llm_folders(tmp_path):
-    """The entry imports, and the other queries are there, when the llm folders and the pipeline are gone."""
+@pytest.mark.parametrize("lost", ["folders", "pipeline", "package"])
+def test_entry_without_the_llm_folders(tmp_path, lost):
+    """The entry imports, and the other queries are there, when the llm folders and the pipeline are gone, or one of
+    them, or a package that they need."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
-    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    gone = ("llm", "__pycache__") if lost == "folders" else ("__pycache__",)
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns(*gone))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if lost == "package" and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError(name='xxhash')")
     code = "import __spark_entry__ as e; assert 'range_indexed' in e.queries() and not [q for q in e.queries() if q.startswith('op')] and 'range_indexed' in e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)

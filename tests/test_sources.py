@@ -52,3 +52,30 @@ def test_registry(spark):
     assert isinstance(make_parser("Twice"), Twice)
     with pytest.raises(ValueError, match="no parser"):
         make_parser("none")
+
+
+def test_one_record_a_line(spark):
+    lines = ["7\t1.5\t-2", "x\t3\t4", "8\tno\t4", "9\t1", "", None, "10\t5\t6\tmore"]
+    assert parsed(spark, make_parser("Fields"), *lines) == [(7, 1.5, -2.0), (10, 5.0, 6.0), (BAD_ID, 3.0, 4.0)]
+    assert parsed(spark, make_parser("Fields", separator=","), "1,2,3") == [(1, 2.0, 3.0)]
+
+
+def test_hash_codes(spark):
+    """32-bit arithmetic that wraps round."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import strings as S
+
+    def wrap(v):
+        return (v + 2**31) % 2**32 - 2**31
+
+    words, numbers = ["", "a", "polygenelubricants", "zzzzzzzzzzzzzzzz", "é中"], [0, 1, -1, 2**40 + 7, -(2**63)]
+    df = spark.createDataFrame(list(zip(words, numbers)), "s string, n long")
+    got = df.select("s", "n", S.string_hash(F.col("s")).alias("a"), S.long_hash(F.col("n")).alias("b"), S.pair_hash(S.string_hash(F.col("s")), S.long_hash(F.col("n"))).alias("c")).collect()
+    for r in got:
+        a = 0
+        for c in r["s"]:
+            a = wrap(31 * a + ord(c))
+        u = r["n"] % 2**64
+        b = wrap((u ^ (u >> 32)) % 2**32)
+        assert (r["a"], r["b"], r["c"]) == (a, b, wrap((a + b) * b + a))
