@@ -4,7 +4,6 @@ and the two-way cell exchange."""
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ..sources.shared import shared_dir
+from ..sources.shared import cut, shared_dir  # noqa: F401
 
 #: Rows without a doc_id take part as this id, which sorts before all others.
 NULL_ID = -(2**63)
@@ -40,14 +39,6 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its rows are then fixed, whichever executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also inside lambda functions."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -225,7 +225,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, dimensions=DIMENSIONS, toleranc
     )
     meta = C.cut(meta)
     tree = grow(meta, shards, dimensions, tolerance)
-    rows = meta.select("doc_id", "_id", "size", "text_crc32", shard_of(tree).cast("int").alias("shard"), F.pmod(F.xxhash64("_id"), F.lit(parts)).alias("run"))
+    rows = meta.select("doc_id", "_id", "size", "text_crc32", shard_of(tree).cast("int").alias("shard"), F.pmod(F.xxhash64("_id", "text_hash"), F.lit(parts)).alias("run"))
     # slots: a shard's rows in `parts` runs, numbered each for itself, after the rows of the runs before
     offsets = rows.groupBy(F.col("shard").alias("_shard"), F.col("run").alias("_run")).agg(F.count("*").alias("n"))
     offsets = offsets.select("_shard", "_run", (F.sum("n").over(Window.partitionBy("_shard").orderBy("_run")) - F.col("n")).alias("before"))

@@ -12,6 +12,8 @@ from . import common as C
 GRAM, SPAN = 5, 20
 #: Texts too short for that are compared by all their grams of so many characters, or of half the text if that is less.
 FINE = 4
+#: Into so many parts the rows without a doc_id go, whose next document each of them gets.
+SALTS = 64
 _PLACE = (1 << 24) - 1
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -95,6 +97,11 @@ def fine_grams(text: Column, size: Column) -> Column:
     return C.let(F.array_remove(F.split(text, ""), ""), lambda x: F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams(x))))
 
 
+def _salt(_id: Column, salt: Column) -> Column:
+    """Rows without a doc_id share one: they are dealt by a salt too."""
+    return F.when(_id == C.NULL_ID, salt.cast("int")).otherwise(F.lit(0))
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
     """ids (_id long, n int, short) to one row an _id: _id, need (half of its largest n), any_short and next: the least larger _id, or
     after the last the first. The ids alone are sorted, by range; a table of one row a range links its borders."""
@@ -124,14 +131,16 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, span: int = SPAN) -> Da
     ids = docs.select("_id", F.length("text").alias("n"), is_short(F.col("text"), F.length("text"), span).alias("short"))
     links = next_ids(ids)
     # both uses below read the same columns of this exchange, so that texts move and are fingerprinted once
-    full = docs.select("doc_id", "_id", "text", F.length("text").alias("n"), selected(F.col("text"), gram, span).alias("kept")).repartition(parts, "_id")
+    full = docs.select("doc_id", "_id", "text", F.length("text").alias("n"), selected(F.col("text"), gram, span).alias("kept"), _salt(F.col("_id"), F.pmod(F.xxhash64("text"), F.lit(SALTS))).alias("salt"))
+    full = full.repartition(parts, "_id", "salt")
     repeated = docs.select("_id").groupBy("_id").count().where("count > 1").limit(1).count() > 0
     heads = full.groupBy("_id").agg(F.min(F.struct("text", "doc_id", "n", "kept")).alias("s")).select("_id", "s.*") if repeated else full
     heads = heads.select(*(F.col(c).alias(f"h_{c.strip('_')}") for c in ("doc_id", "_id", "text", "n", "kept")))
     after = heads.join(links.select(F.col("_id").alias("of"), F.col("need"), F.col("any_short"), F.col("next")), F.col("h_id") == F.col("next"))
     after = after.select("of", F.substring("h_text", F.lit(1), F.least("need", "h_n")).alias("head"), F.col("h_doc_id").alias("next_doc_id"), F.col("h_n").cast("long").alias("next_chars"), F.col("h_kept").alias("next_kept"), F.when(F.col("any_short"), F.col("h_text")).alias("next_text"))
     # in as many parts as the texts: what follows costs more time than its bytes tell
-    both = full.join(after.repartition(parts, "of"), F.col("_id") == F.col("of"))
+    after = after.withColumn("of_salt", F.explode(F.sequence(F.lit(0), _salt(F.col("of"), F.lit(SALTS - 1))))).repartition(parts, "of", "of_salt")
+    both = full.join(after, (F.col("_id") == F.col("of")) & (F.col("salt") == F.col("of_salt")))
     half = half_of(F.col("n"))
     # of repeated rows the shorter need less than the longest
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("head", F.lit(1), half))
