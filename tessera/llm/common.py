@@ -34,6 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker keeps from task to task, such as a model: of one operator at a time, so that those of a pipeline
+    don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def n_parts(spark: SparkSession) -> int:
     """The session's shuffle partitions: the one knob that follows the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

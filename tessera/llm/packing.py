@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import defaultdict
+from itertools import chain, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -24,35 +26,49 @@ MAX_GAP = 8
 MERGED = 32
 #: Fixed value: the word-level pre-token pattern of the tokenizer file.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Fixed value: how the vocabulary marks tokens that end a pre-token.
+WORD_END = "</w>"
 #: Words, and pre-tokens, whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 BLOCK_BYTES = 4 << 20
 
 
 class Ragged:
-    """Strings and the numbers that belong to each, side by side."""
+    """Strings and the numbers that belong to each, side by side. A string that at() hasn't seen gets the next place;
+    new() tells those that still have no numbers, in that order, and add() gives them theirs."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.start, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
+        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.n, self.start, self.flat = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
 
-    def add(self, keys: list[str], sizes: np.ndarray, values) -> None:
-        first, ends = len(self.index), self.start[len(self.index)] + np.cumsum(sizes)
-        while len(self.start) <= first + len(keys):
+    def at(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+
+    def new(self) -> list[str]:
+        return list(islice(self.index, self.n, None))
+
+    def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        ends = self.start[self.n] + np.cumsum(sizes)
+        while len(self.start) <= self.n + len(sizes):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.start[first] : ends[-1]] = values
-        self.start[first + 1 : first + 1 + len(keys)] = ends
-        self.index.update(zip(keys, range(first, first + len(keys))))
+        self.flat[self.start[self.n] : ends[-1]] = values
+        self.start[self.n + 1 : self.n + 1 + len(sizes)] = ends
+        self.n += len(sizes)
 
-    def take(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all keys, one after the other, and how many each has."""
-        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at all places, one after the other, and how many each has."""
         begin = self.start[at]
         sizes = self.start[at + 1] - begin
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        return self.flat[_runs(begin, sizes)], sizes
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
@@ -65,36 +81,52 @@ class Encoder:
         self.tok = tokenizer(path)
         self.words, self.parts = Ragged(), Ragged()
         self.find = regex.compile(PRE_TOKEN + r"|\n").findall
+        vocabulary = self.tok.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
     def _learn(self, words: list[str]) -> None:
-        plain, rest = [], []
-        for w in words:
-            (plain if w.isascii() or (max(w) <= "\u04ff" and "\u03a3" not in w and is_normalized("NFC", w)) else rest).append(w)
-        words = plain + rest
-        flat = self.find("".join([w + "\n" for w in plain]).lower())
-        ends = np.array([i for i, p in enumerate(flat) if p == "\n"], np.int64)
-        counts = np.concatenate([np.diff(ends, prepend=-1) - 1, np.ones(len(rest), np.int64)])
-        flat = [p for p in flat if p != "\n"] + rest
-        new = list(set(flat).difference(self.parts.index))
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
+        """The ids of new words, in their order."""
+        rest = [i for i, w in enumerate(words) if not (w.isascii() or (max(w) <= "\u04ff" and "\u03a3" not in w and is_normalized("NFC", w)))]
+        others = set(rest)
+        plain = [w for i, w in enumerate(words) if i not in others] if rest else words
+        found = self.find("".join([w + "\n" for w in plain]).lower())
+        counts = np.diff(np.array([i for i, p in enumerate(found) if p == "\n"], np.int64), prepend=-1) - 1
+        at = self.parts.at([p for p in found if p != "\n"])
+        if new := self.parts.new():
+            for i in range(0, len(new), 8192):
+                self._add_parts(new[i : i + 8192])
+        ids, of_part = self.parts.take(at)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(of_part)])[np.concatenate([[0], np.cumsum(counts)])])
+        if rest:
+            whole = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+            order = np.argsort(np.concatenate([np.delete(np.arange(len(words)), rest), rest]), kind="stable")
+            sizes, ids = np.concatenate([sizes, [len(x) for x in whole]]), np.concatenate([ids, *whole])
+            ids = ids[_runs((np.cumsum(sizes) - sizes)[order], sizes[order])]
+            sizes = sizes[order]
+        self.words.add(sizes, ids)
+
+    def _add_parts(self, some: list[str]) -> None:
+        """New pre-tokens are encoded as one text: the last id of each is one that ends a word. If they don't come out so,
+        one by one."""
+        ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.is_end[ids])
+        if len(ends) != len(some) or ends[-1] != len(ids) - 1:
             found = [x.ids for x in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-            self.parts.add(some, np.fromiter(map(len, found), np.int64, len(found)), [y for x in found for y in x])
-        ids, sizes = self.parts.take(flat)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.words.add(words, np.diff(ends), ids)
+            return self.parts.add(np.fromiter(map(len, found), np.int64, len(found)), np.array([y for x in found for y in x], np.uint32))
+        self.parts.add(np.diff(ends, prepend=-1), ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = {i for i, t in enumerate(texts) if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        words = [w for x in split for w in x]
-        if len(self.words.index) > KEPT_WORDS:
+        if self.words.n > KEPT_WORDS:
             self.words = Ragged()
-        if len(self.parts.index) > KEPT_WORDS:
+        if self.parts.n > KEPT_WORDS:
             self.parts = Ragged()
-        if new := set(words).difference(self.words.index):
-            self._learn(list(new))
-        flat, sizes = self.words.take(words)
+        at = self.words.at(list(chain.from_iterable(split)))
+        if new := self.words.new():
+            self._learn(new)
+        flat, sizes = self.words.take(at)
         cut = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, split)])]
         out = [flat[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
         for i in odd:
@@ -102,15 +134,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 class Packer:
     """Open windows; emit(window) gets the closed ones, a window being a list of (doc_id, start, ids, doc_tokens)."""
 
@@ -179,7 +202,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, n_open:
 
     def online(batches):
         base, n, closed = TaskContext.get().partitionId(), 0, []
-        packer, enc = Packer(closed.append, length, n_open), encoder(path)
+        packer, enc = Packer(closed.append, length, n_open), C.kept(("ids", path), lambda: Encoder(path))
 
         def flush():
             nonlocal n
