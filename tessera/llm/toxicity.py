@@ -37,7 +37,7 @@ WITNESS_ROUNDS, FIRST_FLOOR, FLOOR = 6, 0.15, -0.9
 #: A sentence without an end has so many words at most; a word of more characters is looked at in overlapping parts.
 SENTENCE, PART = 32, 32
 #: Words whose weights a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 #: So many of a text's highest sentences count, with margins up to these.
 HIGHEST, CLIP = 3, (3.0, 1.0, 1.0)
 #: What a toxic text counts when the curve is fitted, and one with changed words; a clean one counts 1.
@@ -390,7 +390,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         has = [(s, not sure.isdisjoint(map(unit, s))) for s in (_sentences(text) if y else [])]
         if one := next((s for s, x in has if x), None):
             changed.append(" ".join([w for s, x in has if not x for w in s] + [_with_insertion(w, i) if unit(w) in sure else w for w in one]))
-    traits = Scorer(model).traits(texts + changed)
+    scorer, every = Scorer(model), texts + changed
+    traits = np.concatenate([scorer.traits(every[i : i + 256]) for i in range(0, len(every), 256)])
     known, times = np.array(labels + [1] * len(changed)), np.array([MISSED if y else 1.0 for y in labels] + [CHANGED] * len(changed))
     model.slopes, model.offset = _logistic(traits, known, times)
     return model
@@ -511,19 +512,13 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     return Model(landmarks, np.array(beta, np.float64), *rest)
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) to (doc_id, score double, predicted int): whole texts, one pass, nothing shuffled."""
     parts = (model.landmarks, model.beta, model.bias, model.slopes, model.offset)
     key = repr((parts[0], parts[1].tolist(), *parts[2:])).encode()
 
     def run(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(Model(*parts))
-        scorer = _scorers[key]
+        scorer = C.kept(key, lambda: Scorer(Model(*parts)))
         for batch in batches:
             _, at = C.utf8(batch.column("text"))
             texts, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
