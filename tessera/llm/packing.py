@@ -29,8 +29,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed value: how the vocabulary marks tokens that end a pre-token.
 WORD_END = "</w>"
 #: Words, and pre-tokens, whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
-BLOCK_BYTES = 4 << 20
+KEPT_WORDS = 500_000
+BLOCK_BYTES = 2 << 20
 
 
 class Ragged:
@@ -46,7 +46,7 @@ class Ragged:
         return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
 
     def new(self) -> list[str]:
-        return list(islice(self.index, self.n, None))
+        return list(islice(reversed(self.index), len(self.index) - self.n))[::-1]
 
     def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
         ends = self.start[self.n] + np.cumsum(sizes)
