@@ -29,7 +29,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed value: how the vocabulary marks tokens that end a pre-token.
 WORD_END = "</w>"
 #: Words, and pre-tokens, whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 350_000
 BLOCK_BYTES = 2 << 20
 
 

@@ -37,7 +37,7 @@ WITNESS_ROUNDS, FIRST_FLOOR, FLOOR = 6, 0.15, -0.9
 #: A sentence without an end has so many words at most; a word of more characters is looked at in overlapping parts.
 SENTENCE, PART = 32, 32
 #: Words whose weights a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 250_000
 #: So many of a text's highest sentences count, with margins up to these.
 HIGHEST, CLIP = 3, (3.0, 1.0, 1.0)
 #: What a toxic text counts when the curve is fitted, and one with changed words; a clean one counts 1.
@@ -298,6 +298,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     pool = sorted(u for u in held[0] if u not in rate and len(u) <= PART)
     near = np.concatenate([np.zeros(0), *(alike.kernel(pool[i : i + 20_000]).max(1) for i in range(0, len(pool), 20_000))])
     more = [pool[i] for i in np.argsort(-near, kind="stable")[:LOOKALIKES] if near[i] >= LEAST]
+    del alike
     more += nsmallest(SAMPLED, set(held[0]) | set(held[1]), key=lambda u: (crc32(u.encode()), u))
     landmarks = marks + sorted(set(more) - set(marks))
     model = Model(landmarks)
@@ -349,7 +350,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         np.maximum.at(sure_best, i + here[known], value[known])
     row, col, value = (np.concatenate(x) for x in zip(*cells))
     begin = np.searchsorted(row, np.arange(n + 1))
-    del rows, cells, many, which, much
+    del rows, cells, many, which, much, altered, some
     of, y = np.array(of), np.array(labels)
 
     def mapped(some_rows: np.ndarray) -> np.ndarray:
@@ -383,7 +384,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         empty = int((y == 0).sum()) - len(np.unique(of[bad]))
         w, b = _machine(mapped(keep), np.concatenate([np.ones(len(good)), -np.ones(bad.sum() + 1)]), np.concatenate([np.ones(len(keep)), [max(1, empty)]]))
         margin, floor = np.bincount(row, weights=value * (root @ w)[col], minlength=n) + b, FLOOR
-    model = Model(landmarks, root @ w, float(b))
+    model.beta, model.bias = root @ w, float(b)
     # toxic texts with all but one of their sentences with sure words left out, and that one changed, teach the curve too
     changed = []
     for i, (text, y) in enumerate(zip(texts, labels)):
