@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: min-wise bands find the candidates, the shingles decide."""
+"""Near copies by the Jaccard similarity of word shingles: balls of short SimHashes find the candidates, the shingles
+decide."""
 
 from __future__ import annotations
 
@@ -9,23 +10,18 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .simhash import BLOCK_ROWS, blocks, meetings
 
 #: Texts are near copies if the sets of their shingles of WORDS words have this Jaccard similarity or more.
 WORDS, LIKE = 5, 0.8
-#: A pair can be compared if one of BANDS bands of ROWS min-wise hashes is equal: at similarity 0.8 all but
-#: (1 - 0.8^7)^48 = 1.2 in 100,000 pairs are.
-BANDS, ROWS = 48, 7
-#: One bit of each of 128 min-wise hashes is a text's sign. At similarity 0.8 each bit differs with a chance of 0.1, so
-#: 1 in 10,000 pairs differ in more than FAR; of those at 0.3 nearly all do.
-SIGN, FAR = 128, 26
+#: The first 128 bits of the short fingerprints are a text's sign. At similarity 0.8 each bit differs with a chance of
+#: 0.15, so 1 in 100,000 pairs differ in more than FAR; of those at 0.3 nearly all do.
+FAR = 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_rng = np.random.default_rng(20240517)
-_FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2)
 
 
 def text_key(text=None):
@@ -53,19 +49,21 @@ def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _signed(batches):
     for batch in batches:
         raw, at = C.utf8(batch.column("text"))
-        key = batch.column("k")
+        key = batch.column("k").to_numpy()
         for i, j in C.chunks(at):
             h, text = shingles(raw[at[i] : at[j]], at[i : j + 1])
-            begin = np.searchsorted(text, np.arange(j - i))
-            bands, bits = np.zeros((j - i, BANDS), np.uint64), np.zeros((j - i, SIGN), np.uint8)
-            for r in range(BANDS * ROWS):
-                least = C.mix(np.minimum.reduceat((h ^ _MASKS[r]) * _FACTORS[r], begin))
-                bands[:, r // ROWS] = C.mix(bands[:, r // ROWS] + least + np.uint64(r // ROWS))
-                if r < SIGN:
-                    bits[:, r] = least & np.uint64(1)
-            sign = np.packbits(bits, axis=1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.record_batch([key[i:j], lists, pa.array(np.ascontiguousarray(sign[:, 0])), pa.array(np.ascontiguousarray(sign[:, 1]))], names=["k", "bands", "s1", "s2"])
+            by = np.lexsort((h, text))
+            h, text = h[by], text[by]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            h, text = h[new], text[new]
+            values, weak = blocks(h, np.searchsorted(text, np.arange(j - i)))
+            sign = np.ascontiguousarray(values[:, :4]).view(np.int64)
+            one = np.unique(key[i:j], return_index=True)[1]
+            yield pa.record_batch(
+                [pa.array(key[i:j][one]), *(pa.array([r.tobytes() for r in x[one].astype("<u4")], pa.binary()) for x in (values, weak)), *(pa.array(sign[one, c]) for c in (0, 1))],
+                names=["k", "blocks", "weak", "s1", "s2"],
+            )
 
 
 def _verified(batches):
@@ -86,19 +84,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     text_key, component the least k reachable over pairs of similarity LIKE or more that were compared. Every link is
     verified on the texts themselves.
 
-    Texts with an equal band are a group. A round compares each member of a group with one of them, its leader: never all
-    pairs, so a group of any size costs a row a member at most, and texts are read only where the signs are alike. In
-    the first round a text leads all its groups or few. The next ones take, in the groups that it didn't connect whole,
-    other leaders, in each group its own, and those members that aren't connected with them; the last is the one that
-    connects nothing new. Groups of near copies are so done after one round or two, whatever their size."""
-    texts = C.cut(docs.select(text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["k"]))
-    signed = C.cut(texts.mapInArrow(_signed, "k long, bands array<long>, s1 long, s2 long"))
-    each = signed.select("k", F.explode("bands").alias("band"))
-    # groups of two and more: few of all bands
-    many = each.groupBy("band").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least <> most").select(F.col("band").alias("_band"))
-    bands = each.join(many, F.col("band") == F.col("_band")).select(F.col("k").alias("_k"), "band")
-    bands = C.cut(bands.join(signed.select("k", "s1", "s2"), F.col("k") == F.col("_k")).drop("_k"))
-    a, b = (texts.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    Candidates come from SimHashes over the same shingles: texts with a variant of one in common are a group (its band).
+    A round compares each member of a group with one of them, its leader: never all pairs, so a group of any size costs a
+    row a member at most, and texts are read only where the signs are alike. In the first round a text leads all its
+    groups or few. The next ones take, in the groups that it didn't connect whole, other leaders, in each group its own,
+    and those members that aren't connected with them; the last is the one that connects nothing new. Groups of near
+    copies are so done after one round or two, whatever their size."""
+    texts = docs.select(text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = C.cut(texts.mapInArrow(_signed, BLOCK_ROWS).dropDuplicates(["k"]))
+    bands = C.cut(meetings(signed))
     now = bands.withColumn("of", F.col("k"))
     edges, known, seen, turn = None, None, None, 0
     while True:
@@ -112,6 +106,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         if turn:  # neither compared before nor of two components that are connected since
             pairs = pairs.join(seen, ["a", "b"], "left_anti").join(known, ["x", "y"], "left_anti").select("a", "b", "x", "y")
         pairs = C.cut(pairs)
+        # texts are read again, but only those that are compared are moved
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
+        read = C.cut(texts.join(ends, F.col("k") == F.col("_k"), "left_semi").dropDuplicates(["k"]))
+        a, b = (read.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b")).select("a", "b", "x", "y", "text_a", "text_b")
         found = C.cut(both.mapInArrow(_verified, "a long, b long, x long, y long"))
         if turn and found.isEmpty():

@@ -151,6 +151,109 @@ def _star(fp: np.ndarray, node: np.ndarray, head: np.ndarray, radius: int) -> tu
     return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
 
+# ---- short fingerprints, for texts that differ in more bits than a ball of 64 can hold -----------------------------------
+
+#: Two texts are candidates if one of BLOCKS SimHashes of 32 bits, each of its own hash function, differs in 2 bits at
+#: most. A ball takes the flips of the WEAK bits whose counts are nearest to half: the others hardly ever differ.
+BLOCKS, WEAK = 96, 12
+#: Shingles that are counted at once, and such runs that 16 bits can sum.
+_RUN, _RUNS = 15, 4096
+_OF_BLOCK = C.mix(np.arange(1, BLOCKS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BLOCK_ROWS = "k long, blocks binary, weak binary, s1 long, s2 long"
+
+
+def _counts(x: np.ndarray, begin: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts how many of its hashes have each of 64 bits. x: _RUN rows whose columns are runs of hashes (0
+    beyond a text's last one), which are added as bit planes; begin and text: parts of at most _RUNS runs, and their
+    texts."""
+    planes = [list(x), [], [], []]
+    for low, high in zip(planes, planes[1:]):
+        while len(low) > 1:
+            a, b, c = low.pop(), low.pop(), low.pop()
+            d = a ^ b
+            low.append(d ^ c)
+            np.bitwise_and(d, c, out=d)
+            high.append(np.bitwise_or(np.bitwise_and(a, b), d, out=d))
+    four = np.unpackbits(planes[3][0].astype("<u8", copy=False).view(np.uint8), bitorder="little")
+    for p in planes[2::-1]:
+        four += four
+        four += np.unpackbits(p[0].astype("<u8", copy=False).view(np.uint8), bitorder="little")
+    four, even = four.view("<u8").reshape(-1, 8), np.uint64(0x00FF00FF00FF00FF)
+    part = np.empty((len(begin), 64), np.int64)
+    for i, lanes in enumerate((four & even, (four >> np.uint64(8)) & even)):
+        part[:, i::2] = np.add.reduceat(lanes, begin, axis=0).astype("<u8").view("<u2").reshape(-1, 32)
+    if len(text) == n:
+        return part
+    return np.add.reduceat(part, np.searchsorted(text, np.arange(n)), axis=0)
+
+
+def blocks(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BLOCKS short SimHashes of each text, and as masks the weak bits of each. h: the hashes of the texts' distinct
+    shingles, one at least each, text after text from begin on."""
+    n, size = len(begin), np.diff(begin, append=len(h))
+    runs = -(-size // _RUN)
+    of = np.repeat(np.arange(n), runs)
+    run = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = run * _RUN + np.arange(_RUN)[:, None]
+    held = at < size[of]
+    h = h[np.where(held, begin[of] + at, 0)]
+    held = np.where(held, ~np.uint64(0), np.uint64(0))
+    starts = np.flatnonzero(run % _RUNS == 0)
+    values, weak = np.empty((n, BLOCKS), np.uint32), np.empty((n, BLOCKS), np.uint32)
+    for r in range(BLOCKS // 2):
+        ones = 2 * _counts(C.mix(h ^ _OF_BLOCK[r]) & held, starts, of[starts], n) - size[:, None]
+        values[:, 2 * r : 2 * r + 2] = np.packbits(ones > 0, axis=1, bitorder="little").view("<u4")
+        # of bits that are as near to half the lower one
+        near = np.argpartition((np.abs(ones) * 32 + np.arange(64) % 32).reshape(n, 2, 32), WEAK, axis=2)[:, :, :WEAK]
+        weak[:, 2 * r : 2 * r + 2] = (np.uint32(1) << near.astype(np.uint32)).sum(2, dtype=np.uint32)
+    return values, weak
+
+
+def _block_variants(values: np.ndarray, weak: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, place of its text) of all that a source's texts emit: each the block itself, and of those with an equal
+    block one, another in each block, its flips. A variant is of one block."""
+    variants, place = [], []
+    for r in range(BLOCKS):
+        v, salt = values[:, r].astype(np.uint64) | np.uint64(r << 32), C.mix(key ^ np.uint64(r + 1))
+        order = np.lexsort((salt, v))
+        one = order[np.diff(v[order], prepend=np.uint64(2**63)) != 0]
+        bits = np.flatnonzero(np.unpackbits(weak[one, r].astype("<u4").view(np.uint8), bitorder="little")) % 32
+        variants += [v, (v[one, None] ^ (np.uint64(1) << bits.reshape(-1, WEAK).astype(np.uint64))).ravel()]
+        place += [np.arange(len(v)), np.repeat(one, WEAK)]
+    return C.mix(np.concatenate(variants)), np.concatenate(place)
+
+
+def _source(table) -> tuple[np.ndarray, ...]:
+    """values, weak bits and keys of the rows of BLOCK_ROWS."""
+    of = lambda c: np.frombuffer(b"".join(table[c].to_pylist()), "<u4").reshape(-1, BLOCKS)
+    return of("blocks"), of("weak"), table["k"].to_numpy().view(np.uint64)
+
+
+def meetings(signed: DataFrame) -> DataFrame:
+    """(k, band, s1, s2) for the texts of signed (BLOCK_ROWS, one a k): texts with a band in common hold one variant of a
+    short fingerprint, so differ in two of its bits at most. Like links: packed cells find out which variants can occur
+    twice, only those become rows."""
+    spark = signed.sparkSession
+    sources, buckets = C.fan_out(spark, signed.count(), SOURCE_FPS // 2, BUCKET_FPS)
+    nodes = signed.withColumn("src", F.pmod(F.xxhash64("k"), F.lit(sources)))
+
+    def emit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cells = list(C.cell_rows([(key[0].as_py(), C.cell_key(_block_variants(*_source(table))[0], buckets))], buckets))
+        return pa.Table.from_batches(cells)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        band, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            keys = np.sort(np.concatenate([np.uint64(b << 32) | C.unpack_cells(x).astype(np.uint64) for b, x in zip(right["bucket"].to_pylist(), right["blob"].to_pylist())]))
+            band, at = _block_variants(*_source(left))
+            hit = np.flatnonzero(C.is_in(C.cell_key(band, buckets), keys))
+            band, at = band[hit], at[hit]
+        return pa.table([left["k"].take(pa.array(at)), pa.array(band.view(np.int64)), left["s1"].take(pa.array(at)), left["s2"].take(pa.array(at))], names=["k", "band", "s1", "s2"])
+
+    returned = C.repeated_cells(nodes.groupBy("src").applyInArrow(emit, C.CELLS), C.n_parts(spark))
+    return nodes.groupBy("src").cogroup(returned.groupBy("src")).applyInArrow(meet, "k long, band long, s1 long, s2 long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
