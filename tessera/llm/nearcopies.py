@@ -14,9 +14,11 @@ from .simhash import BLOCK_ROWS, blocks, meetings
 
 #: Texts are near copies if the sets of their shingles of WORDS words have this Jaccard similarity or more.
 WORDS, LIKE = 5, 0.8
-#: The first 128 bits of the short fingerprints are a text's sign. At similarity 0.8 each bit differs with a chance of
-#: 0.15, so 1 in 100,000 pairs differ in more than FAR; of those at 0.3 nearly all do.
-FAR = 40
+#: The first SIGN x 64 bits of the short fingerprints are a text's sign. At similarity 0.8 each bit differs with a chance of
+#: 0.15, so fewer than 1 in 100,000 pairs differ in more than FAR; of those at 0.55 nearly all do.
+SIGN, FAR = 12, 170
+#: Rounds in which a text is compared with one other at most.
+HOOKS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -58,11 +60,11 @@ def _signed(batches):
             new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
             h, text = h[new], text[new]
             values, weak = blocks(h, np.searchsorted(text, np.arange(j - i)))
-            sign = np.ascontiguousarray(values[:, :4]).view(np.int64)
+            sign = np.ascontiguousarray(values[:, : 2 * SIGN]).view(np.int64)
             one = np.unique(key[i:j], return_index=True)[1]
             yield pa.record_batch(
-                [pa.array(key[i:j][one]), *(pa.array([r.tobytes() for r in x[one].astype("<u4")], pa.binary()) for x in (values, weak)), *(pa.array(sign[one, c]) for c in (0, 1))],
-                names=["k", "blocks", "weak", "s1", "s2"],
+                [pa.array(key[i:j][one]), *(pa.array([r.tobytes() for r in x[one].astype("<u4")], pa.binary()) for x in (values, weak)), pa.array(list(sign[one]), pa.list_(pa.int64()))],
+                names=["k", "blocks", "weak", "sign"],
             )
 
 
@@ -76,7 +78,7 @@ def _verified(batches):
         for a, b in zip(*sides):
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(both >= LIKE * (len(a) + len(b) - both))
-        yield batch.select(["a", "b", "x", "y"]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -85,39 +87,39 @@ def near_copies(docs: DataFrame) -> DataFrame:
     verified on the texts themselves.
 
     Candidates come from SimHashes over the same shingles: texts with a variant of one in common are a group (its band).
-    A round compares each member of a group with one of them, its leader: never all pairs, so a group of any size costs a
-    row a member at most, and texts are read only where the signs are alike. In the first round a text leads all its
-    groups or few. The next ones take, in the groups that it didn't connect whole, other leaders, in each group its own,
-    and those members that aren't connected with them; the last is the one that connects nothing new. Groups of near
-    copies are so done after one round or two, whatever their size."""
+    A round compares members of a group with one of them, its leader: never all pairs, so a group of any size costs a row a
+    member at most, and texts are read only where the signs are alike. In the first HOOKS rounds each text is compared with
+    one of its groups' leaders, the same for many, which connects most copies of a crowd at a pair a text. The next ones
+    compare with all of them, in the groups that aren't connected whole: first a text leads all its groups or few, then each
+    group has its own; the last is the one that connects nothing new."""
     texts = docs.select(text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     signed = C.cut(texts.mapInArrow(_signed, BLOCK_ROWS).dropDuplicates(["k"]))
     bands = C.cut(meetings(signed))
     now = bands.withColumn("of", F.col("k"))
-    edges, known, seen, turn = None, None, None, 0
+    edges, seen, turn = None, None, 0
     while True:
-        rank = F.xxhash64("k", "band", F.lit(turn)) if turn else F.xxhash64("k")
-        lead = now.groupBy("band").agg(F.min_by(F.struct("k", "of", "s1", "s2"), rank).alias("l"), F.min("of").alias("x"), F.max("of").alias("y"))
+        hooks = turn < HOOKS
+        rank = F.xxhash64("k", F.lit(turn)) if hooks else F.xxhash64("k", "band", F.lit(turn))
+        lead = now.groupBy("band").agg(F.min_by(F.struct("k", "of", "sign"), rank).alias("l"), F.min("of").alias("x"), F.max("of").alias("y"))
         lead = lead.where("x <> y").select(F.col("band").alias("_band"), "l")
-        far = F.bit_count(F.col("s1").bitwiseXOR(F.col("l.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("l.s2")))
+        far = sum(F.bit_count(F.col("sign")[i].bitwiseXOR(F.col("l.sign")[i])) for i in range(SIGN))
         met = now.join(lead, (F.col("band") == F.col("_band")) & (F.col("of") != F.col("l.of")) & (far <= FAR))
-        ends = F.array_sort(F.array(F.struct(F.col("l.k").alias("k"), F.col("l.of").alias("of")), F.struct("k", "of")))
-        pairs = met.select(ends.alias("e")).select(F.col("e")[0]["k"].alias("a"), F.col("e")[1]["k"].alias("b"), F.least(F.col("e")[0]["of"], F.col("e")[1]["of"]).alias("x"), F.greatest(F.col("e")[0]["of"], F.col("e")[1]["of"]).alias("y")).distinct()
-        if turn:  # neither compared before nor of two components that are connected since
-            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(known, ["x", "y"], "left_anti").select("a", "b", "x", "y")
+        if hooks:
+            met = met.groupBy("k").agg(F.min_by("l", F.struct(far, F.xxhash64("l.k", F.lit(turn)))).alias("l"))
+        pairs = met.select(F.least("k", "l.k").alias("a"), F.greatest("k", "l.k").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = C.cut(pairs)
         # texts are read again, but only those that are compared are moved
         ends = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
         read = C.cut(texts.join(ends, F.col("k") == F.col("_k"), "left_semi").dropDuplicates(["k"]))
         a, b = (read.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-        both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b")).select("a", "b", "x", "y", "text_a", "text_b")
-        found = C.cut(both.mapInArrow(_verified, "a long, b long, x long, y long"))
-        if turn and found.isEmpty():
+        both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b")).select("a", "b", "text_a", "text_b")
+        found = C.cut(both.mapInArrow(_verified, "a long, b long"))
+        if not hooks and found.isEmpty():
             return components(edges).withColumnRenamed("node", "k")
-        if not turn:
-            label = components(found.select("a", "b"))
-            now = C.cut(bands.join(label, F.col("k") == F.col("node"), "left").select("k", "band", "s1", "s2", F.coalesce("component", "k").alias("of")))
         seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
         edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
-        links = found.select("x", "y").distinct()
-        known, turn = links if known is None else known.union(links), turn + 1
+        label = components(edges)
+        now = C.cut(bands.join(label, F.col("k") == F.col("node"), "left").select("k", "band", "sign", F.coalesce("component", "k").alias("of")))
+        turn += 1

@@ -159,7 +159,7 @@ BLOCKS, WEAK = 96, 12
 #: Shingles that are counted at once, and such runs that 16 bits can sum.
 _RUN, _RUNS = 15, 4096
 _OF_BLOCK = C.mix(np.arange(1, BLOCKS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BLOCK_ROWS = "k long, blocks binary, weak binary, s1 long, s2 long"
+BLOCK_ROWS = "k long, blocks binary, weak binary, sign array<long>"
 
 
 def _counts(x: np.ndarray, begin: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def _source(table) -> tuple[np.ndarray, ...]:
 
 
 def meetings(signed: DataFrame) -> DataFrame:
-    """(k, band, s1, s2) for the texts of signed (BLOCK_ROWS, one a k): texts with a band in common hold one variant of a
+    """(k, band, sign) for the texts of signed (BLOCK_ROWS, one a k): texts with a band in common hold one variant of a
     short fingerprint, so differ in two of its bits at most. Like links: packed cells find out which variants can occur
     twice, only those become rows."""
     spark = signed.sparkSession
@@ -248,10 +248,10 @@ def meetings(signed: DataFrame) -> DataFrame:
             band, at = _block_variants(*_source(left))
             hit = np.flatnonzero(C.is_in(C.cell_key(band, buckets), keys))
             band, at = band[hit], at[hit]
-        return pa.table([left["k"].take(pa.array(at)), pa.array(band.view(np.int64)), left["s1"].take(pa.array(at)), left["s2"].take(pa.array(at))], names=["k", "band", "s1", "s2"])
+        return pa.table([left["k"].take(pa.array(at)), pa.array(band.view(np.int64)), left["sign"].take(pa.array(at))], names=["k", "band", "sign"])
 
     returned = C.repeated_cells(nodes.groupBy("src").applyInArrow(emit, C.CELLS), C.n_parts(spark))
-    return nodes.groupBy("src").cogroup(returned.groupBy("src")).applyInArrow(meet, "k long, band long, s1 long, s2 long")
+    return nodes.groupBy("src").cogroup(returned.groupBy("src")).applyInArrow(meet, "k long, band long, sign array<long>")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from tessera.llm import common as C
+from tessera.llm import simhash
 from tessera.llm.components import components
 from tessera.llm.simhash import ball, fingerprint, links, near_duplicates
 from tessera.llm.substring import remove_repeats
@@ -182,3 +183,21 @@ def test_word_and_window_hashes():
             assert len(w) == 121 - k and (w[: 61 - k] == w[60:]).all() and len(set(w[:60].tolist())) == 60
     assert (words.hashes(0) != words.hashes(1)).all()
     assert len(C.window_hashes(np.zeros(3, np.uint64), 4)) == 0
+
+
+def test_short_fingerprints():
+    """Each bit is that of over half of the hashes; the weak ones are the nearest to half."""
+    r = np.random.default_rng(3)
+    size = np.array([1, 4, 15, 16, 300, 70_000])
+    begin = np.cumsum(size) - size
+    h = r.integers(0, 2**63, size.sum(), np.uint64)
+    values, weak = simhash.blocks(h, begin)
+    assert (np.bitwise_count(weak) == simhash.WEAK).all()
+    for i, q in [(i, q) for i in range(len(size)) for q in (0, 17, simhash.BLOCKS // 2 - 1)]:
+        x = C.mix(h[begin[i] : begin[i] + size[i]] ^ simhash._OF_BLOCK[q])
+        twice = 2 * np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) - size[i]
+        for half in (0, 1):
+            mine, bits = twice[32 * half :][:32], values[i, 2 * q + half]
+            assert [bool(bits >> np.uint32(b) & np.uint32(1)) for b in range(32)] == (mine > 0).tolist()
+            is_weak = np.array([bool(weak[i, 2 * q + half] >> np.uint32(b) & np.uint32(1)) for b in range(32)])
+            assert abs(mine[is_weak]).max() <= abs(mine[~is_weak]).min()

@@ -139,3 +139,18 @@ def test_a_crowd_of_near_copies(spark, docs_of):
     rows += [(1000 + i, " ".join(base[:30] + [f"u{r.randrange(10**6)}" for _ in range(120)])) for i in range(60)]
     kept = {x["doc_id"] for x in P.drop_near_duplicates(spark, docs_of(rows), SF).collect()}
     assert kept == {0} | set(range(1000, 1060))
+
+
+def test_near_duplicates_come_from_simhash(spark, docs_of, monkeypatch):
+    """The stage takes its candidates from the SimHash operator, and only pairs in one of its balls."""
+    from tessera.llm import nearcopies, simhash
+
+    seen = []
+    monkeypatch.setattr(nearcopies, "meetings", lambda signed: seen.append(simhash.meetings(signed)) or seen[-1])
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "changed", *words[51:]])), (3, "a text like no other one of them")]
+    assert {x["doc_id"] for x in P.drop_near_duplicates(spark, docs_of(rows), SF).collect()} == {1, 3}
+    groups = [x["n"] for x in seen[0].groupBy("band").agg(F.countDistinct("k").alias("n")).collect()]
+    assert max(groups) == 2
+    monkeypatch.setattr(nearcopies, "meetings", lambda signed: simhash.meetings(signed).limit(0))
+    assert P.drop_near_duplicates(spark, docs_of(rows), SF).count() == 3
