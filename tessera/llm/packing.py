@@ -94,8 +94,8 @@ class Encoder:
         counts = np.diff(np.array([i for i, p in enumerate(found) if p == "\n"], np.int64), prepend=-1) - 1
         at = self.parts.at([p for p in found if p != "\n"])
         if new := self.parts.new():
-            for i in range(0, len(new), 8192):
-                self._add_parts(new[i : i + 8192])
+            for i in range(0, len(new), 256):
+                self._add_parts(new[i : i + 256])
         ids, of_part = self.parts.take(at)
         sizes = np.diff(np.concatenate([[0], np.cumsum(of_part)])[np.concatenate([[0], np.cumsum(counts)])])
         if rest:
@@ -109,7 +109,7 @@ class Encoder:
     def _add_parts(self, some: list[str]) -> None:
         """New pre-tokens are encoded as one text: the last id of each is one that ends a word. If they don't come out so,
         one by one."""
-        ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.is_end[ids])
         if len(ends) != len(some) or ends[-1] != len(ids) - 1:
             found = [x.ids for x in self.tok.encode_batch_fast(some, add_special_tokens=False)]

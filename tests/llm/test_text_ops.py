@@ -266,6 +266,19 @@ def test_packing_round_trip(docs_of, messy, length, n_open):
     assert pack(docs_of([])).count() == 0
 
 
+def test_new_pre_tokens_need_no_offsets():
+    """New pre-tokens go through the encoder without offsets; the ids are the tokenizer's."""
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"word{i} it's{i % 7} Über{i}" for i in range(k, k + 700)) for k in (0, 350)]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Fast:
+        encode_batch_fast = staticmethod(enc.tok.encode_batch_fast)
+
+    enc.tok = Fast()
+    assert [x.tolist() for x in enc.encode(texts)] == want
+
+
 def test_packing_keeps_null_and_repeated_ids(docs_of, messy):
     got = pack(docs_of(messy)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"] for r in got} == {i for i, _ in messy}
