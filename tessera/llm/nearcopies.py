@@ -89,9 +89,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Candidates come from SimHashes over the same shingles: texts with a variant of one in common are a group (its band).
     A round compares members of a group with one of them, its leader: never all pairs, so a group of any size costs a row a
     member at most, and texts are read only where the signs are alike. In the first HOOKS rounds each text is compared with
-    one of its groups' leaders, the same for many, which connects most copies of a crowd at a pair a text. The next ones
-    compare with all of them, in the groups that aren't connected whole: first a text leads all its groups or few, then each
-    group has its own; the last is the one that connects nothing new."""
+    the nearest of its groups' leaders, which connects most copies of a crowd at a pair a text. The next ones compare with
+    all of them, in the groups that aren't connected whole, each group with its own leader; the last is the one that
+    connects nothing new."""
     texts = docs.select(text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     signed = C.cut(texts.mapInArrow(_signed, BLOCK_ROWS).dropDuplicates(["k"]))
     bands = C.cut(meetings(signed))
