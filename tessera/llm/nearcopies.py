@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -78,7 +78,7 @@ def _verified(batches):
         for a, b in zip(*sides):
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(both >= LIKE * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -91,35 +91,40 @@ def near_copies(docs: DataFrame) -> DataFrame:
     member at most, and texts are read only where the signs are alike. In the first HOOKS rounds each text is compared with
     the nearest of its groups' leaders, which connects most copies of a crowd at a pair a text. The next ones compare with
     all of them, in the groups that aren't connected whole, each group with its own leader; the last is the one that
-    connects nothing new."""
+    connects nothing new. What is connected has one label, and what a round finds connects labels, not texts: that takes
+    few steps, and the driver keeps something of each."""
     texts = docs.select(text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     signed = C.cut(texts.mapInArrow(_signed, BLOCK_ROWS).dropDuplicates(["k"]))
-    bands = C.cut(meetings(signed))
-    now = bands.withColumn("of", F.col("k"))
-    edges, seen, turn = None, None, 0
+    # a row a text, with all its groups: no more than its variants
+    now = C.cut(meetings(signed).groupBy("k").agg(F.first("sign").alias("sign"), F.collect_set("band").alias("bands"), F.first("k").alias("of")))
+    stars, seen, turn = None, None, 0
     while True:
         hooks = turn < HOOKS
         rank = F.xxhash64("k", F.lit(turn)) if hooks else F.xxhash64("k", "band", F.lit(turn))
-        lead = now.groupBy("band").agg(F.min_by(F.struct("k", "of", "sign"), rank).alias("l"), F.min("of").alias("x"), F.max("of").alias("y"))
-        lead = lead.where("x <> y").select(F.col("band").alias("_band"), "l")
+        lead = F.first(F.struct("k", "of", "sign")).over(Window.partitionBy("band").orderBy(rank, "k"))
         far = sum(F.bit_count(F.col("sign")[i].bitwiseXOR(F.col("l.sign")[i])) for i in range(SIGN))
-        met = now.join(lead, (F.col("band") == F.col("_band")) & (F.col("of") != F.col("l.of")) & (far <= FAR))
+        met = now.select("k", "of", "sign", F.explode("bands").alias("band")).withColumn("l", lead).where((F.col("of") != F.col("l.of")) & (far <= FAR))
         if hooks:
-            met = met.groupBy("k").agg(F.min_by("l", F.struct(far, F.xxhash64("l.k", F.lit(turn)))).alias("l"))
-        pairs = met.select(F.least("k", "l.k").alias("a"), F.greatest("k", "l.k").alias("b")).distinct()
+            met = met.groupBy("k", "of").agg(F.min_by("l", F.struct(far, F.xxhash64("l.k", F.lit(turn)))).alias("l"))
+        pairs = met.select(F.least("k", "l.k").alias("a"), F.greatest("k", "l.k").alias("b"), F.least("of", "l.of").alias("x"), F.greatest("of", "l.of").alias("y")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = C.cut(pairs)
         # texts are read again, but only those that are compared are moved
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
+        ends = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
         read = C.cut(texts.join(ends, F.col("k") == F.col("_k"), "left_semi").dropDuplicates(["k"]))
         a, b = (read.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-        both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b")).select("a", "b", "text_a", "text_b")
-        found = C.cut(both.mapInArrow(_verified, "a long, b long"))
-        if not hooks and found.isEmpty():
-            return components(edges).withColumnRenamed("node", "k")
+        both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b")).select("x", "y", "text_a", "text_b")
+        found = C.cut(both.mapInArrow(_verified, "x long, y long"))
+        if not found.isEmpty():
+            # components of components: what earlier rounds connected is one node
+            label = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            stars = label if stars is None else stars.union(label)
+            now = C.cut(now.join(label, F.col("of") == F.col("node"), "left").select("k", "sign", "bands", F.coalesce("component", "of").alias("of")))
+        elif not hooks:
+            break
         seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
-        edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
-        label = components(edges)
-        now = C.cut(bands.join(label, F.col("k") == F.col("node"), "left").select("k", "band", "sign", F.coalesce("component", "k").alias("of")))
         turn += 1
+    if stars is None:
+        return now.select("k", F.col("of").alias("component")).limit(0)
+    return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("node", "k")

@@ -88,6 +88,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_with_the_last_star(spark, monkeypatch):
+    """Stars need no round, a chain of three edges one or two; nothing is broadcast."""
+    from tessera.llm import components as module
+
+    steps, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda rows: steps.append(rows._jdf.queryExecution().toString()) or cut(rows))
+    for edges, want, most in (([(1, 5), (5, 1), (1, 6), (2, 7), (3, 3)], {5: 1, 6: 1, 7: 2}, 1), ([(1, 4), (4, 2), (2, 3)], {2: 1, 3: 1, 4: 1}, 3)):
+        steps.clear()
+        assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+        assert len(steps) <= most and not any("BroadcastExchange" in x for x in steps)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 1500, 5000, 70_000, 300_000])
 def test_packed_cells(n):
     r = np.random.default_rng(n)

@@ -154,3 +154,20 @@ def test_near_duplicates_come_from_simhash(spark, docs_of, monkeypatch):
     assert max(groups) == 2
     monkeypatch.setattr(nearcopies, "meetings", lambda signed: simhash.meetings(signed).limit(0))
     assert P.drop_near_duplicates(spark, docs_of(rows), SF).count() == 3
+
+
+def test_near_duplicates_take_few_jobs(spark, docs_of):
+    """Chains of copies that no round connects whole: the driver keeps something of every job."""
+    r = random.Random(8)
+    rows = []
+    for g in range(12):
+        c = [f"g{g}v{r.randrange(10**6)}" for _ in range(150)]
+        for i in range(25):
+            for _ in range(2):
+                c[r.randrange(150)] = f"c{i}x{r.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(c)))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    began = jobs()
+    kept = {x["doc_id"] for x in P.drop_near_duplicates(spark, docs_of(rows), SF).collect()}
+    assert kept == {100 * g for g in range(12)}
+    assert jobs() - began < 230
