@@ -81,6 +81,14 @@ def _verified(batches):
         yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _open(now: DataFrame) -> DataFrame:
+    """now without the groups that are connected whole and the texts that are in no other: they give no pairs any more."""
+    band = Window.partitionBy("band")
+    rows = now.select("k", "of", F.explode("bands").alias("band")).select("k", "band", F.min("of").over(band).alias("x"), F.max("of").over(band).alias("y"))
+    left = rows.where("x <> y").groupBy(F.col("k").alias("_k")).agg(F.collect_set("band").alias("bands"))
+    return now.drop("bands").join(left, F.col("k") == F.col("_k")).select("k", "sign", "bands", "of")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(k, component) for each distinct text of docs (text, any others) that is a near copy of another one: k is its
     text_key, component the least k reachable over pairs of similarity LIKE or more that were compared. Every link is
@@ -116,15 +124,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         a, b = (read.select(F.col("k").alias(f"k_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(a, F.col("a") == F.col("k_a")).join(b, F.col("b") == F.col("k_b")).select("x", "y", "text_a", "text_b")
         found = C.cut(both.mapInArrow(_verified, "x long, y long"))
-        if not found.isEmpty():
-            # components of components: what earlier rounds connected is one node
-            label = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-            stars = label if stars is None else stars.union(label)
-            now = C.cut(now.join(label, F.col("of") == F.col("node"), "left").select("k", "sign", "bands", F.coalesce("component", "of").alias("of")))
-        elif not hooks:
-            break
+        if not hooks and found.isEmpty():
+            return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("node", "k")
+        # components of components: what earlier rounds connected is one node
+        label = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        stars = label if stars is None else stars.union(label)
+        now = C.cut(now.join(label, F.col("of") == F.col("node"), "left").select("k", "sign", "bands", F.coalesce("component", "of").alias("of")))
+        if turn == 0:
+            now = C.cut(_open(now))
         seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
         turn += 1
-    if stars is None:
-        return now.select("k", F.col("of").alias("component")).limit(0)
-    return components(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("node", "k")
+        # what the round has shuffled lies on disk until the driver collects its garbage
+        texts.sparkSession.sparkContext._jvm.System.gc()
